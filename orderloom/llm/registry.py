@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, quality_rules
+from . import bpe, line_dedup, ngram_join, quality_rules, secrets, substring_dedup, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_ngram_join": ngram_join.op2_ngram_join,
+        "op3_secrets": secrets.op3_secrets,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_url_filter": url_filter.op9_url_filter,
     }
 
 
