@@ -328,7 +328,10 @@ _LOADED: dict[int, Vocabulary] = {}
 def _encode(shared, with_offsets: bool, with_decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = shared.value
-        vocabulary = _LOADED.setdefault(hash(raw), None) or _LOADED.update({hash(raw): Vocabulary(raw)}) or _LOADED[hash(raw)]
+        key = hash(raw)
+        if key not in _LOADED:  # one a worker process, with its cache
+            _LOADED[key] = Vocabulary(raw)
+        vocabulary = _LOADED[key]
         for batch in batches:
             data, offsets = B.text_buffers(batch.column("text"))
             ids, where, decoded = [], [], []
@@ -356,8 +359,8 @@ def _encode(shared, with_offsets: bool, with_decoded: bool):
     return run
 
 
-def encode(docs: DataFrame, vocabulary_path: str | None = None, with_offsets: bool = False, with_decoded: bool = False) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit), and, where asked for, the byte
+def encode(docs: DataFrame, vocabulary_path: str | None = None, with_offsets: bool = False, with_decoded: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the ``carry`` columns, ids (little-endian unsigned 32-bit), and, where asked for, the byte
     offset of each token (likewise) and the bytes that the ids decode to.
 
     The rank file (under a megabyte) is read here and sent to the executors once.
@@ -368,9 +371,9 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None, with_offsets: bo
         vocabulary_path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     with open(vocabulary_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, ids binary" + ", offsets binary" * with_offsets + ", decoded binary" * with_decoded
-    return docs.select("doc_id", "text").mapInArrow(_encode(shared, with_offsets, with_decoded), schema)
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
+    schema = f"{kinds}, ids binary" + ", offsets binary" * with_offsets + ", decoded binary" * with_decoded
+    return docs.select("doc_id", *carry, "text").mapInArrow(_encode(shared, with_offsets, with_decoded), schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ no rows; only doc_id, text, lang and source are read, other columns may clash.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._plan import table, texts
+from ._plan import table, written
 
 #: Fixed values of the contract: symbols, shortest text, window, largest share of repeated words.
 SYMBOLS = "#*$%&|<>"
@@ -92,21 +93,24 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(keep_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = B.text_buffers(batch.column("text"))
         parts = [measure_chunk(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in B.chunks(offsets)]
         found = np.concatenate(parts, axis=1) if parts else np.zeros((len(_MEASURES), 0), np.int64)
-        rest = [c for c in batch.schema.names if c != "text"]
+        rest = [c for c in batch.schema.names if keep_text or c != "text"]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in rest), *(pa.array(x) for x in found)], names=[*rest, *_MEASURES]
         )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the measures, the ratios and base_failed."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select("doc_id", "lang", "source").schema)
-    rows = texts(docs, "lang", "source").mapInArrow(_measure, ", ".join([kinds, *(f"{m} bigint" for m in _MEASURES)]))
+def measured(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the ``carry`` columns (text may be one), the measures,
+    the ratios and base_failed."""
+    held = docs.select("doc_id", "text", "lang", "source", *(c for c in carry if c != "text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema if f.name != "text" or "text" in carry)
+    run = functools.partial(_measure, "text" in carry)
+    rows = held.mapInArrow(run, ", ".join([kinds, *(f"{m} bigint" for m in _MEASURES)]))
     share = lambda top, per: F.col(top) / F.greatest(F.col(per), F.lit(1))
     return rows.withColumns({
         "symbols": share("n_symbols", "n_words"), "capitals": share("n_capitals", "word_chars"), "marks": share("n_marks", "n_words"),
@@ -118,9 +122,9 @@ def measured(docs: DataFrame) -> DataFrame:
 def fences(rows: DataFrame) -> DataFrame:
     """(lang, source, one fence a feature) from KLL sketches merged upwards."""
     k = F.lit(SKETCH_K)
-    group = rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(
+    group = written(rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(f), k).alias(f) for f in FLOORS)
-    )
+    ))
     merged = lambda by: group.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(F.col(f), k).alias(f) for f in FLOORS))
 
     def bounds(df: DataFrame, prefix: str, by: list[str]) -> DataFrame:
@@ -131,8 +135,8 @@ def fences(rows: DataFrame) -> DataFrame:
         )
 
     own = bounds(group, "g_", ["lang", "source"])
-    language = bounds(merged(["lang"]), "l_", [F.col("lang").alias("of_lang")])
-    corpus = bounds(merged([]), "c_", [])
+    language = bounds(merged(["lang"]).filter("n > 0"), "l_", [F.col("lang").alias("of_lang")])
+    corpus = bounds(merged([]).filter("n > 0"), "c_", [])
     joined = own.join(F.broadcast(corpus)).join(language, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     return joined.select(
         F.col("lang").alias("f_lang"), F.col("source").alias("f_source"),
@@ -140,11 +144,11 @@ def fences(rows: DataFrame) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document with its measures, base_failed and kept.  Only groups with a
     text that passes the base have fences; the others hold nothing to keep."""
-    rows = measured(docs)
-    bound = fences(rows)
+    rows = measured(docs, carry)
+    bound = fences(measured(docs))
     match = F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source"))
     within = F.lit(True)
     for f in FLOORS:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, ngram_join, quality_rules, secrets, substring_dedup, suffix_dedup, url_filter
+from . import bpe, decontaminate, line_dedup, ngram_join, pii, quality_rules, secrets, substring_dedup, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,12 +17,14 @@ def queries() -> dict[str, Query]:
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_secrets": secrets.op3_secrets,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_pii": pii.op5_pii,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": decontaminate.ORACLE_SQL}
