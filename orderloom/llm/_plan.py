@@ -25,6 +25,11 @@ def bucket_count(df: DataFrame, per_bucket: int = 8 << 20) -> int:
     return max(least, -(-size_in_bytes(df) // per_bucket))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """At most so many texts in an Arrow batch from now on: it is held twice, by the JVM and by Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; one of the session's own where that is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

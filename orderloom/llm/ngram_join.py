@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import _bloom
 from . import _bytes as B
-from ._plan import bucket_count, table, texts, written
+from ._plan import bucket_count, small_batches, table, texts, written
 from .components import UnionFind, connected
 from .substring_dedup import ranges
 
@@ -123,7 +123,7 @@ def _deal_texts(buckets: int, size: int):
         for batch in batches:
             ids, known = _bloom.batch_ids(batch.column(0))
             data, offsets = B.text_buffers(batch.column(1))
-            for a, b in B.chunks(offsets, 1 << 23):
+            for a, b in B.chunks(offsets, 1 << 22):
                 near = offsets[a:b + 1] - offsets[a]
                 part = data[offsets[a]:offsets[b]]
                 sets = [g for lo, hi in B.chunks(near) for g in shingle_sets(part[near[lo]:near[hi]], near[lo:hi + 1] - near[lo], size)]
@@ -297,10 +297,10 @@ def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between representatives of equal sets: enough for the components."""
     equal = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    shared = _shared_grams(texts(docs).mapInArrow(_deal_texts(bucket_count(docs), size), _DEALT))
+    shared = _shared_grams(texts(docs).mapInArrow(_deal_texts(bucket_count(docs, 4 << 20), size), _DEALT))
     kinds = "doc_id bigint, n bigint, set_key binary, grams binary, lead bigint"
     some = written(shared.join(equal, "doc_id").select("doc_id", "n", "set_key", "parts").mapInArrow(_joined(percent), kinds))
-    again = _shared_grams(some.select("doc_id", "grams").mapInArrow(_deal_sets(bucket_count(some, 16 << 20)), _DEALT))
+    again = _shared_grams(some.select("doc_id", "grams").mapInArrow(_deal_sets(bucket_count(some, 4 << 20)), _DEALT))
     held = written(again.join(some.select("doc_id", "n", "set_key"), "doc_id").select("doc_id", "n", "set_key", "parts").mapInArrow(_joined(percent), kinds))
 
     lead = written(held.select("doc_id", "grams", "lead").mapInArrow(_leads, "doc_id bigint, gram bigint"))
@@ -323,6 +323,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PER
 
 def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, one row a row of docs."""
+    small_batches(docs.sparkSession)
     sets = written(texts(docs).mapInArrow(_sketch(size), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, set_key binary"))
     full = sets.filter("n_shingles > 0 and doc_id is not null")
     equal = full.groupBy("set_key").agg(F.min("doc_id").alias("first"))
