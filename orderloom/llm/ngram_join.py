@@ -85,13 +85,18 @@ def _sketch(size: int):
     return run
 
 
-def _deal(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """(doc ids, set sizes, shingles) of a batch -> shingles by bucket; those of two
+#: Columns of dealt shingles: documents, how many shingles of each follow, sizes of their whole sets.
+_PARTS = ("docs", "counts", "sizes", "grams")
+_KINDS = ("<i8", "<u4", "<u4", "<u8")
+
+
+def _deal(rows: Iterator[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(doc ids, numbers of shingles, shingles, whole set sizes) of a batch -> shingles by bucket; those of two
     documents of the batch by a negative bucket, and one of each for the others' sake."""
-    for ids, sizes, grams in rows:
+    for ids, count, grams, sizes in rows:
         if not len(grams):
             continue
-        doc = np.repeat(np.arange(len(ids)), sizes)
+        doc = np.repeat(np.arange(len(ids)), count)
         order = np.argsort(grams, kind="stable")
         same = grams[order][1:] == grams[order][:-1]
         shared = np.zeros(len(grams), bool)
@@ -106,16 +111,15 @@ def _deal(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: in
         order = np.lexsort((doc, bucket))
         bucket, doc, grams = bucket[order], doc[order], grams[order]
         edge = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True])
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
         for lo, hi in zip(edge[:-1], edge[1:]):
             cut = np.flatnonzero(np.r_[True, np.diff(doc[lo:hi]) != 0, True])
             out[0].append(int(bucket[lo]))
             out[1].append(ids[doc[lo:hi][cut[:-1]]].astype("<i8").tobytes())
             out[2].append(np.diff(cut).astype("<u4").tobytes())
-            out[3].append(grams[lo:hi].astype("<u8").tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "docs", "counts", "grams"]
-        )
+            out[3].append(sizes[doc[lo:hi][cut[:-1]]].astype("<u4").tobytes())
+            out[4].append(grams[lo:hi].astype("<u8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", *_PARTS])
 
 
 def _deal_texts(buckets: int, size: int):
@@ -128,7 +132,8 @@ def _deal_texts(buckets: int, size: int):
                 part = data[offsets[a]:offsets[b]]
                 sets = [g for lo, hi in B.chunks(near) for g in shingle_sets(part[near[lo]:near[hi]], near[lo:hi + 1] - near[lo], size)]
                 use = [i for i in range(b - a) if known[a + i]]
-                yield ids[a:b][use], np.array([len(sets[i]) for i in use], np.int64), np.concatenate([sets[i] for i in use] or [np.zeros(0, np.uint64)])
+                count = np.array([len(sets[i]) for i in use], np.int64)
+                yield ids[a:b][use], count, np.concatenate([sets[i] for i in use] or [np.zeros(0, np.uint64)]), count
 
     return lambda batches: _deal(rows(batches), buckets)
 
@@ -139,76 +144,107 @@ def _deal_sets(buckets: int):
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 sets = [np.frombuffer(x.as_py(), "<u8") for x in part.column("grams")]
-                yield part.column("doc_id").to_numpy(), np.array([len(x) for x in sets]), np.concatenate(sets)
+                yield part.column("doc_id").to_numpy(), np.array([len(x) for x in sets]), np.concatenate(sets), part.column("n").to_numpy()
 
     return lambda batches: _deal(rows(batches), buckets)
 
 
-def _shared(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's shingles that two documents have, by document."""
-    parts: list[list[np.ndarray]] = [[], [], []]
+def _parts(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    held: list[list[np.ndarray]] = [[] for _ in _PARTS]
     for batch in batches:
-        for name, kind, held in zip(("docs", "counts", "grams"), ("<i8", "<u4", "<u8"), parts, strict=True):
-            held += [np.frombuffer(x.as_py(), kind) for x in batch.column(name)]
-    ids, counts, grams = (np.concatenate(x) for x in parts)
-    doc = np.repeat(ids, counts.astype(np.int64))
-    if key[0].as_py() >= 0:
-        order = np.argsort(grams, kind="stable")
-        g, d = grams[order], doc[order]
-        head = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        # rows of one doc_id are one document
-        many = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
-        keep = order[np.repeat(many, np.diff(np.r_[head, len(g)]))]
-        doc, grams = doc[keep], grams[keep]
-    order = np.argsort(doc, kind="stable")
-    doc, grams = doc[order], grams[order]
-    edge = np.flatnonzero(np.r_[True, np.diff(doc) != 0, True]) if len(doc) else np.zeros(1, np.int64)
-    yield pa.RecordBatch.from_arrays([
-        pa.array(doc[edge[:-1]] if len(doc) else [], pa.int64()),
-        pa.array([grams[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary()),
-    ], names=["doc_id", "part"])
+        for name, kind, into in zip(_PARTS, _KINDS, held, strict=True):
+            into += [np.frombuffer(x.as_py(), kind) for x in batch.column(name)]
+    return [np.concatenate(x) for x in held]
 
 
-def _shared_grams(dealt: DataFrame) -> DataFrame:
-    """(doc_id, parts): the shingles of each document that another document has."""
-    return dealt.groupBy("bucket").applyInArrow(_shared, "doc_id bigint, part binary").groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
+def _shared(homes: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's shingles that two documents have, packed by the documents' homes."""
+        ids, counts, sizes, grams = _parts(batches)
+        doc, size = np.repeat(ids, counts.astype(np.int64)), np.repeat(sizes, counts.astype(np.int64))
+        if key[0].as_py() >= 0:
+            order = np.argsort(grams, kind="stable")
+            g, d = grams[order], doc[order]
+            head = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            # rows of one doc_id are one document
+            many = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
+            keep = order[np.repeat(many, np.diff(np.r_[head, len(g)]))]
+            doc, size, grams = doc[keep], size[keep], grams[keep]
+        home = doc % homes
+        order = np.lexsort((doc, home))
+        home, doc, size, grams = home[order], doc[order], size[order], grams[order]
+        edge = np.flatnonzero(np.r_[True, np.diff(home) != 0, True]) if len(home) else np.zeros(1, np.int64)
+        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            cut = np.flatnonzero(np.r_[True, np.diff(doc[lo:hi]) != 0, True])
+            out[0].append(int(home[lo]))
+            for into, x, kind in zip(out[1:], (doc[lo:hi][cut[:-1]], np.diff(cut), size[lo:hi][cut[:-1]], grams[lo:hi]), _KINDS, strict=True):
+                into.append(x.astype(kind).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["home", *_PARTS])
 
+    return _hinted(run)
 
-_DEALT = "bucket bigint, docs binary, counts binary, grams binary"
 
+def _hinted(run):
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
 
-def _joined(percent: int):
-    """doc_id, n, parts -> the documents whose prefix holds a shared shingle: their
-    shared shingles in order, and how many of those are in the prefix."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, n, key, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "set_key", "parts")), strict=True):
-                grams = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in parts]))
-                left = prefix_length(n, percent) - (n - len(grams))
-                if left > 0:
-                    rows.append((doc, n, key, grams.tobytes(), left))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))],
-                names=["doc_id", "n", "set_key", "grams", "lead"],
-            )
+def _assembled(percent: int):
+    """A home's documents whose prefix holds a shared shingle: their shared shingles in
+    order, and how many of those are in the prefix."""
 
-    return run
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, counts, sizes, grams = _parts(batches)
+        doc, size = np.repeat(ids, counts.astype(np.int64)), np.repeat(sizes, counts.astype(np.int64))
+        order = np.lexsort((grams, doc))
+        doc, size, grams = doc[order], size[order].astype(np.int64), grams[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])] if len(doc) else np.zeros(0, bool)
+        doc, size, grams = doc[new], size[new], grams[new]
+        edge = np.flatnonzero(np.r_[True, np.diff(doc) != 0, True]) if len(doc) else np.zeros(1, np.int64)
+        n = size[edge[:-1]] if len(doc) else size
+        lead = prefix_length(n, percent) - (n - np.diff(edge))
+        some = np.flatnonzero(lead > 0)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(doc[edge[some]], pa.int64()), pa.array(n[some], pa.int64()),
+            pa.array([grams[edge[i]:edge[i + 1]].tobytes() for i in some], pa.binary()), pa.array(lead[some], pa.int64()),
+        ], names=["doc_id", "n", "grams", "lead"])
+
+    return _hinted(run)
+
+
+def _candidates(dealt: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """(doc_id, n, grams, lead) from dealt shingles.  Answers travel packed by home, a
+    fixed share of documents, so rows follow buckets and not buckets times documents."""
+    homes = max(1, buckets // 4)
+    packed = dealt.groupBy("bucket").applyInArrow(_shared(homes), "home bigint, docs binary, counts binary, sizes binary, grams binary")
+    return packed.groupBy("home").applyInArrow(_assembled(percent), "doc_id bigint, n bigint, grams binary, lead bigint")
+
+
+_DEALT = "bucket bigint, docs binary, counts binary, sizes binary, grams binary"
 
 
 class Node:
     """A path segment of the tree; what is below it, for pruning."""
 
-    __slots__ = ("segment", "children", "ends", "below", "least", "most", "rest")
+    __slots__ = ("segment", "children", "ends", "below", "least", "most", "rest", "last")
 
-    def __init__(self, segment, children, ends, below, least, most, rest):
+    def __init__(self, segment, children, ends, below, least, most, rest, last):
         self.segment, self.children, self.ends, self.below = segment, children, ends, below
-        self.least, self.most, self.rest = least, most, rest
+        self.least, self.most, self.rest, self.last = least, most, rest, last
+
+    def inside(self, classes: UnionFind, own) -> bool:
+        """All sets below are in the class.  Classes only grow, so of members found
+        together one stands for all from then on."""
+        roots = {classes.find(i) for i in self.below}
+        if len(roots) < len(self.below):
+            self.below = list(roots)
+        return roots == {own}
 
 
-def build(sets: list[np.ndarray], sizes: list[int], members: list[int], depth: int = 0) -> list[Node]:
-    """Compressed prefix tree over the members' ordered sets from ``depth`` on."""
+def build(sets: list[np.ndarray], sizes: list[int], members: list[int], rank: list[int], depth: int = 0) -> list[Node]:
+    """Compressed prefix tree over the members' ordered sets from ``depth`` on; rank is
+    each member's turn as a probe."""
     heads: dict[int, list[int]] = {}
     for i in members:
         heads.setdefault(int(sets[i][depth]), []).append(i)
@@ -224,7 +260,8 @@ def build(sets: list[np.ndarray], sizes: list[int], members: list[int], depth: i
                 same = int(differ[0])
         cut = at + same
         ends = [i for i in group if len(sets[i]) == cut]
-        node = Node(first[at:cut], [], ends, group, min(sizes[i] for i in group), max(sizes[i] for i in group), max(len(sets[i]) for i in group) - cut)
+        size = [sizes[i] for i in group]
+        node = Node(first[at:cut], [], ends, list(group), min(size), max(size), max(len(sets[i]) for i in group) - cut, max(rank[i] for i in group))
         into.append(node)
         split: dict[int, list[int]] = {}
         for i in group:
@@ -238,17 +275,18 @@ def tree_links(ids: list[int], sets: list[np.ndarray], sizes: list[int], percent
     """Links that join classes, found by sending every set through the tree of all."""
     classes, links = UnionFind(), []
     order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
-    roots = build(sets, sizes, order)
+    rank = [0] * len(ids)
+    for turn, i in enumerate(order):
+        rank[i] = turn
+    roots, apart = build(sets, sizes, order, rank), len(ids)
     for x in order:
         mine, n = sets[x], sizes[x]
         low, high = -(-percent * n // 100), 100 * n // percent
         stack = [(node, 0) for node in roots]
-        while stack:
+        while stack and apart > 1:
             node, overlap = stack.pop()
-            if node.most < low or node.least > high:
-                continue
-            own = classes.find(ids[x])
-            if all(classes.find(ids[i]) == own for i in node.below):
+            # a pair is tried once, from its earlier probe
+            if node.last <= rank[x] or node.most < low or node.least > high or node.inside(classes, classes.find(x)):
                 continue
             want = needed(n, max(node.least, low), percent)
             done = 0
@@ -263,8 +301,9 @@ def tree_links(ids: list[int], sets: list[np.ndarray], sizes: list[int], percent
             if overlap < 0:
                 continue
             for i in node.ends:
-                if overlap >= needed(n, sizes[i], percent) and classes.union(ids[x], ids[i]):
+                if overlap >= needed(n, sizes[i], percent) and classes.union(x, i):
                     links.append((ids[x], ids[i]))
+                    apart -= 1
             stack += [(child, overlap) for child in node.children]
     return links
 
@@ -279,8 +318,7 @@ def _tree_join(percent: int):
         links = tree_links(ids, [rows[i][0] for i in ids], [rows[i][1] for i in ids], percent)
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
-    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return run
+    return _hinted(run)
 
 
 def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,12 +334,12 @@ def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between representatives of equal sets: enough for the components."""
-    equal = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    shared = _shared_grams(texts(docs).mapInArrow(_deal_texts(bucket_count(docs, 4 << 20), size), _DEALT))
-    kinds = "doc_id bigint, n bigint, set_key binary, grams binary, lead bigint"
-    some = written(shared.join(equal, "doc_id").select("doc_id", "n", "set_key", "parts").mapInArrow(_joined(percent), kinds))
-    again = _shared_grams(some.select("doc_id", "grams").mapInArrow(_deal_sets(bucket_count(some, 4 << 20)), _DEALT))
-    held = written(again.join(some.select("doc_id", "n", "set_key"), "doc_id").select("doc_id", "n", "set_key", "parts").mapInArrow(_joined(percent), kinds))
+    equal = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    buckets = bucket_count(docs, 4 << 20)
+    some = _candidates(texts(docs).mapInArrow(_deal_texts(buckets, size), _DEALT), buckets, percent)
+    some = written(some.join(equal, "doc_id", "left_semi").select("doc_id", "n", "grams"))
+    buckets = bucket_count(some, 4 << 20)
+    held = written(_candidates(some.mapInArrow(_deal_sets(buckets), _DEALT), buckets, percent))
 
     lead = written(held.select("doc_id", "grams", "lead").mapInArrow(_leads, "doc_id bigint, gram bigint"))
     hub = lead.groupBy("gram").agg(F.min("doc_id").alias("hub"))
