@@ -18,8 +18,12 @@ def _read(x) -> posets.Order:
 
 
 def column(f, kind: str):
-    """A column function from a function of an Order."""
-    return F.udf(lambda x: None if x is None else f(_read(x)), kind, useArrow=True)
+    """A column function from a function of an Order, built when first used in a session."""
+
+    def apply(order) -> Column:
+        return F.udf(lambda x: None if x is None else f(_read(x)), kind, useArrow=True)(order)
+
+    return apply
 
 
 tiling = column(posets.tiling, "string")

@@ -232,3 +232,35 @@ def loop_weights(spark: SparkSession, q: float, k: int, tail: str = "renorm") ->
     if tail == "lump":
         return rows.withColumn("w", F.when(F.col("n") == k, F.pow(F.lit(q), F.lit(k - 1))).otherwise(F.col("w")))
     return rows.join(F.broadcast(rows.agg(F.sum("w").alias("_t")))).select("n", (F.col("w") / F.col("_t")).alias("w"))
+
+
+def enabled_counts(order: str, trace: str, alphabet: Sequence[str]) -> Column:
+    """Per step of a trace how many labels could have finished: not done, all
+    predecessors done.  ``order`` and ``trace`` are column names."""
+    m = len(alphabet) - 1
+    at = ", ".join(f"array_position({trace}, '{a}') - 1" for a in alphabet)
+    return F.expr(f"""transform(sequence(0, {m}), j -> size(filter(sequence(0, {m}), y -> array({at})[y] >= j AND
+        forall(sequence(0, {m}), z -> (`{order}` & shiftleft(1L, 8 * z + y)) = 0 OR array({at})[z] < j))))""")
+
+
+def timed_loglik(timed: DataFrame, orders: DataFrame, alphabet: Sequence[str], lam: float, eps: float = 0.0, eta: float = 0.0) -> DataFrame:
+    """(order, group_id, logf) of (group_id, trace, gaps) under racing clocks: the
+    three terms in log space, joined by their largest."""
+    m = len(alphabet)
+    rows = timed.withColumn("chain", R.from_trace(F.col("trace"), alphabet))
+    rate = rows.agg((F.sum(F.size("gaps")) / F.sum(F.aggregate("gaps", F.lit(0.0), lambda s, x: s + x))).alias("rate"))
+    marginal = pooled(counts(rows))
+    rows = rows.join(F.broadcast(marginal), "chain").crossJoin(F.broadcast(rate)).crossJoin(F.broadcast(orders.select("order").distinct()))
+    k = enabled_counts("order", "trace", alphabet)
+    load = F.aggregate(F.zip_with(k, "gaps", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    span = F.aggregate("gaps", F.lit(0.0), lambda s, x: s + x)
+    pooled_term = m * F.ln("rate") - F.col("rate") * span
+    terms = [
+        F.when(R.respects(F.col("chain"), F.col("order")), math.log((1 - eta) * (1 - eps)) + m * math.log(lam) - lam * load),
+        pooled_term + F.lit(math.log((1 - eta) * eps / math.factorial(m))) if eps else F.lit(None).cast("double"),
+        pooled_term + F.lit(math.log(eta)) + F.ln("pbar") if eta else F.lit(None).cast("double"),
+    ]
+    every = F.array_compact(F.array(*terms))
+    top = F.array_max(every)
+    lse = F.when(F.size(every) == 0, F.lit(float("-inf"))).otherwise(top + F.ln(F.aggregate(every, F.lit(0.0), lambda s, x: s + F.exp(x - top))))
+    return rows.groupBy("order", "group_id").agg(F.sum(lse).alias("logf"))
