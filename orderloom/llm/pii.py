@@ -126,22 +126,34 @@ def _near(rows: DataFrame) -> DataFrame:
     return term.filter(whole & outside).select("doc_id", "entity", "place", "term", "start", "stop")
 
 
+def _disclosure(documents: str) -> Column:
+    """Share of an entity's self-information that a term in so many documents gives."""
+    rare = F.log2(F.col("n") / F.col("n_entity"))
+    gain = F.log2(F.least(F.col("support") / F.col(documents), F.lit(1.0)) * F.col("n") / F.col("n_entity"))
+    return gain / rare
+
+
 def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs that exceed the threshold."""
+    """(entity, term, disclosure) of the pairs that exceed the threshold.
+
+    A term is in at least the documents where it stands near some entity.  With that
+    count for the corpus's the disclosure is an upper bound, so pairs it already puts
+    below the threshold go first; common words never reach the count over the corpus.
+    """
+    total = F.broadcast(docs.agg(F.count(F.lit(1)).cast("double").alias("n")))
+    entities = near.groupBy("entity").agg(F.countDistinct("doc_id").alias("n_entity"))
+    at_least = near.groupBy("term").agg(F.countDistinct("doc_id").alias("n_near"))
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("place").alias("support")).filter(F.col("support") >= SUPPORT)
     pairs = written(
-        near.groupBy("entity", "term").agg(F.countDistinct("place").alias("support")).filter(F.col("support") >= SUPPORT)
+        pairs.join(entities, "entity").join(at_least, "term").join(total).filter("n_entity < n").filter(_disclosure("n_near") >= THRESHOLD)
+        .select("entity", "term", "support", "n_entity", "n")
     )
-    entities = near.groupBy("entity").agg(F.countDistinct("doc_id").alias("n_entity"))
     wanted = written(pairs.select("term").distinct())
     terms = (
         texts(docs).select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("term"))
         .join(broadcastable(wanted, 8 << 20), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     )
-    total = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    rare = F.log2(F.col("n") / F.col("n_entity"))
-    gain = F.log2(F.least(F.col("support") / F.col("n_term"), F.lit(1.0)) * F.col("n") / F.col("n_entity"))
-    scored = pairs.join(terms, "term").join(entities, "entity").join(F.broadcast(total))
-    return scored.filter("n_entity < n").select("entity", "term", (gain / rare).alias("disclosure")).filter(F.col("disclosure") >= THRESHOLD)
+    return pairs.join(terms, "term").select("entity", "term", _disclosure("n_term").alias("disclosure")).filter(F.col("disclosure") >= THRESHOLD)
 
 
 def identified(docs: DataFrame) -> DataFrame:
