@@ -277,3 +277,14 @@ def extract_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     kind = nodes.schema["graph_id"].dataType.simpleString()
     return nodes.groupBy("graph_id").cogroup(edges.groupBy("graph_id")).applyInPandas(one, f"graph_id {kind}, label string, left array<string>, right array<string>")
+
+
+def unroll(g: Generator, order: int = 8) -> set[Generator]:
+    """One weighted generator a solution of its constraints (on port texts); without
+    constraints the generator itself."""
+    from .constraints import solutions
+
+    if not g.constraints:
+        return {g}
+    text = {"|".join(map(str, p)): p for p in g.left | g.right}
+    return {Generator(g.label, g.left, g.right, frozenset(), frozenset((text[v], n) for v, n in s.items())) for s in solutions(g.constraints, bound=order)}

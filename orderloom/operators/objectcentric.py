@@ -94,3 +94,31 @@ def signature(rel: DataFrame, **thresholds: float) -> DataFrame:
 
     arcs = dependency_graph(rel, **thresholds)
     return generators(marker_groups(neighbours(rel, arcs, "in")), marker_groups(neighbours(rel, arcs, "out")), arcs)
+
+
+def bound_generators(into: DataFrame, out: DataFrame) -> DataFrame:
+    """(label, left, right, constraints): interior generators with what their markers
+    say of object counts, as text: ``port>=lo`` and ``port<=hi`` for every leg, and for a
+    type dealt over several output legs ``their sum==the sum of its input legs``."""
+    none = F.array().cast(_card_type())
+    a = into.select("activity", F.col("structure").alias("i"), F.col("cards").cast(_card_type()).alias("ci"))
+    b = out.select("activity", F.col("structure").alias("o"), F.col("cards").cast(_card_type()).alias("co"))
+    both = a.join(b, "activity", "full").filter(F.col("i").isNull() | F.col("o").isNull() | (_types(F.col("i")) == _types(F.col("o"))))
+    both = both.select("activity", F.coalesce("ci", none).alias("ci"), F.coalesce("co", none).alias("co"))
+    typ, other = (lambda m: F.substring_index(m, ":", 1)), (lambda m: F.substring_index(m, ":", -1))
+    inp = lambda m: F.concat_ws("|", other(m), typ(m), F.col("activity"))
+    outp = lambda m: F.concat_ws("|", F.col("activity"), typ(m), other(m))
+    box = lambda cards, port: F.flatten(F.transform(cards, lambda c: F.array(F.concat(port(c["m"]), F.lit(">="), c["lo"].cast("string")), F.concat(port(c["m"]), F.lit("<="), c["hi"].cast("string")))))
+    legs = lambda cards, port, t: F.array_sort(F.transform(F.filter(cards, lambda c: typ(c["m"]) == t), lambda c: port(c["m"])))
+    dealt = F.transform(
+        F.filter(_types(F.transform("co", lambda c: c["m"])), lambda t: (F.size(legs(F.col("co"), outp, t)) > 1) & (F.size(legs(F.col("ci"), inp, t)) > 0)),
+        lambda t: F.concat(F.array_join(legs(F.col("co"), outp, t), "+"), F.lit("=="), F.array_join(legs(F.col("ci"), inp, t), "+")),
+    )
+    return both.select(
+        F.col("activity").alias("label"), F.array_sort(F.transform("ci", lambda c: inp(c["m"]))).alias("left"), F.array_sort(F.transform("co", lambda c: outp(c["m"]))).alias("right"),
+        F.array_sort(F.concat(box(F.col("ci"), inp), box(F.col("co"), outp), dealt)).alias("constraints"),
+    ).distinct()
+
+
+def _card_type() -> str:
+    return "array<struct<m:string,lo:bigint,hi:bigint>>"

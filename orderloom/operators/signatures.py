@@ -111,3 +111,23 @@ def compare(named: dict[str, DataFrame], keys: list[str], payload: str, referenc
     every = F.array(*(status(n) for n in order))
     verdict = F.when(F.array_contains(every, "diff"), "param-diff").when(F.exists(every, lambda s: s.isin("absent", "novel")), "partial").otherwise("match")
     return rows.select(*keys, *(status(n).alias(f"status_{n}") for n in order), verdict.alias("verdict"))
+
+
+def per_name(compared: DataFrame, reference: str) -> DataFrame:
+    """(name, status, n): each table's cells against the reference; rows that neither
+    has are left out."""
+    names = [c.removeprefix("status_") for c in compared.columns if c.startswith("status_") and c != f"status_{reference}"]
+    cells = compared.select(F.col(f"status_{reference}").alias("ref"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"status_{n}").alias("status")) for n in names))).alias("c"))
+    return cells.select("ref", "c.*").filter((F.col("status") != "absent") | (F.col("ref") == "ref")).groupBy("name", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def degenerate_filtered(sig: DataFrame) -> DataFrame:
+    """Without generators that go straight back where they came from, for labels all of
+    whose generators have one leg on each side."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("label")
+    rows = sig.withColumn("_wide", F.max(F.greatest(F.size("left"), F.size("right"))).over(w)).withColumn("_thin", F.min(F.least(F.size("left"), F.size("right"))).over(w))
+    part = lambda c, i: F.split_part(F.get(c, F.lit(0)), F.lit("|"), F.lit(i))
+    bounce = (F.col("_wide") == 1) & (F.col("_thin") == 1) & (part("left", 1) == part("right", 3))
+    return rows.filter(~bounce).drop("_wide", "_thin")

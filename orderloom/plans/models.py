@@ -91,3 +91,37 @@ def meets_of_labels(s, d):
     return orders(s, d).agg(F.count(F.lit(1)).alias("traces"), F.count_distinct("chain").alias("chains"), F.bit_and("chain").alias("order"))
 
 
+
+
+def _bind_sql() -> str:
+    from .catalogue import BOTH
+
+    card = lambda side: f"cd_{side} AS (SELECT act, st, m, min(c) AS lo, max(c) AS hi FROM (SELECT s.act, s.st, k.m, k.c FROM st_{side} s JOIN mk_{side} k USING (eid)) GROUP BY ALL), cl_{side} AS (SELECT act, st, list({{'m': m, 'lo': lo, 'hi': hi}}) AS cards FROM cd_{side} GROUP BY ALL)"
+    inp = "split_part(c.m, ':', 2) || '|' || split_part(c.m, ':', 1) || '|' || act"
+    out = "act || '|' || split_part(c.m, ':', 1) || '|' || split_part(c.m, ':', 2)"
+    box = lambda cards, port: f"list_concat(list_transform({cards}, lambda c: {port} || '>=' || c.lo), list_transform({cards}, lambda c: {port} || '<=' || c.hi))"
+    legs = lambda cards, port: f"list_sort(list_transform(list_filter({cards}, lambda c: split_part(c.m, ':', 1) = t), lambda c: {port}))"
+    types = "list_filter(list_distinct(list_transform(co, lambda c: split_part(c.m, ':', 1))), lambda t: len(list_filter(co, lambda c: split_part(c.m, ':', 1) = t)) > 1 AND len(list_filter(ci, lambda c: split_part(c.m, ':', 1) = t)) > 0)"
+    return f"""WITH {BOTH}, {card('in')}, {card('out')}, pr AS (SELECT coalesce(i.act, o.act) AS act, coalesce(i.cards, []) AS ci, coalesce(o.cards, []) AS co FROM cl_in i FULL JOIN cl_out o ON i.act = o.act
+ WHERE i.st IS NULL OR o.st IS NULL OR list_sort(list_distinct(list_transform(i.st, lambda m: split_part(m, ':', 1)))) = list_sort(list_distinct(list_transform(o.st, lambda m: split_part(m, ':', 1)))))
+ SELECT act AS label, array_to_string(list_sort(list_concat(list_concat({box('ci', inp)}, {box('co', out)}),
+  list_transform({types}, lambda t: array_to_string({legs('co', out)}, '+') || '==' || array_to_string({legs('ci', inp)}, '+')))), ',') AS constraints FROM pr"""
+
+
+@query("occn_bindings", _bind_sql())
+def occn_bindings(s, d):
+    from ..operators import objectcentric, succession
+    from .catalogue import ocel
+
+    rel = ocel(s, d)
+    arcs = succession.dependency_graph(rel)
+    groups = [objectcentric.marker_groups(objectcentric.neighbours(rel, arcs, side)) for side in ("in", "out")]
+    return objectcentric.bound_generators(*groups).select("label", joined("constraints").alias("constraints"))
+
+
+@query("compare_summary")
+def compare_summary(s, d):
+    from ..operators import signatures
+    from .catalogue import compare_status
+
+    return signatures.per_name(compare_status(s, d), "even")
