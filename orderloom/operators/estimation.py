@@ -264,3 +264,99 @@ def timed_loglik(timed: DataFrame, orders: DataFrame, alphabet: Sequence[str], l
     top = F.array_max(every)
     lse = F.when(F.size(every) == 0, F.lit(float("-inf"))).otherwise(top + F.ln(F.aggregate(every, F.lit(0.0), lambda s, x: s + F.exp(x - top))))
     return rows.groupBy("order", "group_id").agg(F.sum(lse).alias("logf"))
+
+
+def order_marginal(weights: DataFrame, atom: DataFrame) -> DataFrame:
+    """(order, w, eps, eta): weight of each order and its weighted mean nuisances."""
+    rows = weights.join(F.broadcast(atom), "atom_id").filter("w > 0")
+    mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c)
+    return rows.groupBy("order").agg(F.sum("w").alias("w"), mean("eps"), mean("eta"))
+
+
+def trivial_loglik(table: DataFrame, spark: SparkSession, alphabet: Sequence[str], eps: float) -> float:
+    """Log-likelihood of the mixture of the observed chains at their frequencies: what a
+    fit has to beat."""
+    share = pooled(table)
+    atom = atoms(share.select(F.col("chain").alias("order")), spark, alphabet, (eps,), (0.0,))
+    logf = group_loglik(table, share, atom, len(alphabet))
+    weights = atom.join(share.withColumnRenamed("chain", "order"), "order").select("atom_id", F.col("pbar").alias("w"))
+    return log_mixture(logf, weights).agg(F.sum("logd")).first()[0]
+
+
+def margin_equivalences(orders: DataFrame, spark: SparkSession, alphabet: Sequence[str], tol: float = 1e-9) -> DataFrame:
+    """(p, q): distinct orders whose pair moments agree, so that moments can't tell them apart."""
+    m = order_moments(orders, spark, alphabet)
+    a, b = m.select(F.col("order").alias("p"), "x", "y", F.col("phi").alias("f")), m.select(F.col("order").alias("q"), "x", "y", F.col("phi").alias("g"))
+    return a.join(b, ["x", "y"]).filter("p < q").groupBy("p", "q").agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("d")).filter(F.col("d") <= tol).select("p", "q")
+
+
+def identifiability(law: DataFrame) -> float:
+    """Least singular value of the laws as unit rows: near 0, the weights are not
+    determined.  Laws are model-sized."""
+    rows = law.select("order", "chain", "p").collect()
+    orders, chains = sorted({r.order for r in rows}), sorted({r.chain for r in rows})
+    dense = np.zeros((len(orders), len(chains)))
+    for r in rows:
+        dense[orders.index(r.order), chains.index(r.chain)] = r.p
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    return float(np.linalg.svd(dense, compute_uv=False)[-1])
+
+
+def golden_max(f, lo: float, hi: float, steps: int = 40) -> tuple[float, float]:
+    """(x, f(x)) of a maximum of a unimodal function."""
+    ratio = (math.sqrt(5) - 1) / 2
+    a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+    fa, fb = f(a), f(b)
+    for _ in range(steps):
+        if fa >= fb:
+            hi, b, fb = b, a, fa
+            a = hi - ratio * (hi - lo)
+            fa = f(a)
+        else:
+            lo, a, fa = a, b, fb
+            b = lo + ratio * (hi - lo)
+            fb = f(b)
+    return (a, fa) if fa >= fb else (b, fb)
+
+
+def polished(cnt: np.ndarray, inside: np.ndarray, e: np.ndarray, pbar: np.ndarray, m: int, w: np.ndarray, eps: np.ndarray, eta: np.ndarray, rounds: int = 3, eps_hi: float = 0.5, eta_hi: float = 0.9) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """Coordinate ascent on each atom's eps and eta with weights refitted, kept only
+    where the likelihood grows: (w, eps, eta, log-likelihoods).
+
+    cnt is groups x traces, inside atoms x traces: both of distinct traces only.
+    """
+
+    def density(k: int, a: float, b: float) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = (1 - b) * ((1 - a) * inside[k] / e[k] + a / math.factorial(m)) + b * pbar
+            part = np.where(cnt > 0, cnt * np.log(p), 0.0)
+        return part.sum(axis=1)
+
+    def total(f: np.ndarray, w: np.ndarray) -> float:
+        top = f.max(axis=0)
+        return float((np.log(w @ np.exp(f - top)) + top).sum())
+
+    eps, eta = eps.copy(), eta.copy()
+    f = np.stack([density(k, eps[k], eta[k]) for k in range(len(w))])
+    path = [total(f, w)]
+    for _ in range(rounds):
+        for k in range(len(w)):
+            for which, high in ((eps, eps_hi), (eta, eta_hi)):
+                old = which[k]
+
+                def tried(x: float, k=k, which=which) -> float:
+                    g = f.copy()
+                    g[k] = density(k, x if which is eps else eps[k], x if which is eta else eta[k])
+                    return total(g, w)
+
+                x, value = golden_max(tried, 0.0, high)
+                if value > total(f, w):
+                    which[k] = x
+                    f[k] = density(k, eps[k], eta[k])
+                else:
+                    which[k] = old
+        new = corrected(f, w, 500)
+        if total(f, new) >= total(f, w):
+            w = new
+        path.append(total(f, w))
+    return w, eps, eta, path

@@ -134,3 +134,42 @@ def test_sinks(spark, tmp_path):
     assert sinks.report_text(arcs, ["src", "tgt"]) == "src  tgt\na    b"
     sig = spark.createDataFrame([("x", ["a|t|x"], [])], "label string, left array<string>, right array<string>")
     assert sinks.signature_text(sig).first().line == "x {a|t|x} -> {}"
+
+
+def test_marginals_and_identifiability(spark):
+    every = masks(spark, [], [("a", "b")], [("b", "a")])
+    law = estimation.laws(every, spark, ABC)
+    # the free law is the mean of the other two
+    assert estimation.identifiability(law) == pytest.approx(0, abs=1e-9)
+    assert estimation.identifiability(law.filter("order != 0")) > 0.5
+    assert estimation.margin_equivalences(every, spark, ABC).count() == 0
+    atom = estimation.atoms(every, spark, ABC, (0.0, 0.2), (0.0,))
+    w = spark.createDataFrame([(0, 0.25), (1, 0.75)], "atom_id int, w double")
+    row = estimation.order_marginal(w, atom).first()
+    assert (row.order, row.w, row.eps) == (0, pytest.approx(1.0), pytest.approx(0.15))
+
+
+def test_trivial_loglik_is_the_entropy_of_single_traces(spark):
+    log = spark.createDataFrame([(i, ["a", "b", "c"] if i % 2 else ["c", "b", "a"]) for i in range(10)], "group_id int, trace array<string>")
+    table = estimation.counts(log.withColumn("chain", R.from_trace(F.col("trace"), ABC)))
+    assert estimation.trivial_loglik(table, spark, ABC, 0.0) == pytest.approx(10 * math.log(0.5))
+
+
+def test_polish_never_loses():
+    r = np.random.default_rng(2)
+    cnt = r.multinomial(5, [0.7, 0.1, 0.1, 0.04, 0.03, 0.03], 80).astype(float)
+    inside = np.array([[1, 0, 0, 0, 0, 0], [1, 1, 1, 1, 1, 1]], float)
+    pbar = cnt.sum(axis=0) / cnt.sum()
+    w, eps, eta, path = estimation.polished(cnt, inside, inside.sum(axis=1), pbar, 3, np.array([0.5, 0.5]), np.array([0.1, 0.0]), np.zeros(2))
+    assert all(b >= a - 1e-9 for a, b in zip(path, path[1:])) and w.sum() == pytest.approx(1)
+    assert estimation.golden_max(lambda x: -((x - 0.3) ** 2), 0, 1)[0] == pytest.approx(0.3, abs=1e-6)
+
+
+def test_catalogues(spark):
+    from orderloom.functions import catalogues as Q
+
+    a, b = P.then(P.leaf("s"), P.leaf("x"), P.leaf("e")), P.par(P.leaf("x"), P.leaf("y"))
+    got = Q.membership(Q.forms(spark, {"m1": [a, b], "m2": [b]}))
+    assert {r.form: r.models for r in got.collect()} == {"(s ; x ; e)": ["m1"], "(x * y)": ["m1", "m2"]}
+    assert Q.shared_by_all(got, 2).count() == 1 and Q.summary(got).count() == 2
+    assert P.tiling(Q.without(a, ["s", "e"])) == "x" and Q.legend(got).count() == 2
