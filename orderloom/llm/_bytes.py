@@ -96,7 +96,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of whole documents of at most ``limit`` bytes, or one longer document."""
     n, lo = len(offsets) - 1, 0
     while lo < n:

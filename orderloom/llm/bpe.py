@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._plan import table
+from ._plan import small_batches, table
 
 #: Classes.  BREAK stands between two texts.
 LETTER, NUMBER, OTHER, OPEN2, OPEN3, GLUE, LONE, RUN, BREAK = range(9)
@@ -39,7 +39,7 @@ START, IN_LETTER, IN_NUMBER, IN_OTHER, AFTER_GLUE, ONE_LEFT, TWO_LEFT, IN_SPACE
 #: The contractions of the pattern.
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
 
-MAX_CACHE = 800_000
+MAX_CACHE = 250_000
 #: Slices beyond so many bytes merge one at a time, by a heap.
 LONG_SLICE = 64
 NO_PAIR = np.int32(1 << 30)
@@ -355,6 +355,7 @@ def _encode(shared, with_offsets: bool, with_decoded: bool):
                     columns.append(pa.array(values, pa.binary()))
                     names.append(name)
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        vocabulary.cache.clear()  # worker processes live on and serve other stages
 
     return run
 
@@ -369,6 +370,7 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None, with_offsets: bo
         import public_tokenizers
 
         vocabulary_path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    small_batches(docs.sparkSession)
     with open(vocabulary_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._plan import table, written
+from ._plan import small_batches, table, written
 
 #: Fixed values of the contract: symbols, shortest text, window, largest share of repeated words.
 SYMBOLS = "#*$%&|<>"
@@ -107,6 +107,7 @@ def _measure(keep_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 def measured(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang, source, the ``carry`` columns (text may be one), the measures,
     the ratios and base_failed."""
+    small_batches(docs.sparkSession)
     held = docs.select("doc_id", "text", "lang", "source", *(c for c in carry if c != "text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema if f.name != "text" or "text" in carry)
     run = functools.partial(_measure, "text" in carry)
