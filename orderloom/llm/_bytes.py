@@ -9,6 +9,8 @@ document alone.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,8 +84,25 @@ class Rolling:
             return mix64((self.prefix[width:] - self.prefix[:-width]) * self.inverse[:n])
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim, or nothing where the C library has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda pad: 0
+
+
+def release() -> None:
+    """Gives freed memory back: worker processes live on between tasks, and what they
+    keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and document offsets of a string column; null is empty."""
+    release()  # what the batch before left
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:

@@ -356,6 +356,7 @@ def _encode(shared, with_offsets: bool, with_decoded: bool):
                     names.append(name)
             yield pa.RecordBatch.from_arrays(columns, names=names)
         vocabulary.cache.clear()  # worker processes live on and serve other stages
+        B.release()
 
     return run
 

@@ -120,6 +120,8 @@ def _deal(rows: Iterator[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.R
             out[3].append(sizes[doc[lo:hi][cut[:-1]]].astype("<u4").tobytes())
             out[4].append(grams[lo:hi].astype("<u8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", *_PARTS])
+        del doc, order, same, shared, bucket, grams, out
+        B.release()
 
 
 def _deal_texts(buckets: int, size: int):
@@ -150,6 +152,7 @@ def _deal_sets(buckets: int):
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    B.release()
     held: list[list[np.ndarray]] = [[] for _ in _PARTS]
     for batch in batches:
         for name, kind, into in zip(_PARTS, _KINDS, held, strict=True):
@@ -316,6 +319,8 @@ def _tree_join(percent: int):
                 rows[doc] = (np.frombuffer(grams.as_py(), "<u8"), n)
         ids = sorted(rows)
         links = tree_links(ids, [rows[i][0] for i in ids], [rows[i][1] for i in ids], percent)
+        rows.clear()
+        B.release()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
     return _hinted(run)

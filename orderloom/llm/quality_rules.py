@@ -102,6 +102,8 @@ def _measure(keep_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in rest), *(pa.array(x) for x in found)], names=[*rest, *_MEASURES]
         )
+        del data, parts, found
+    B.release()
 
 
 def measured(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
