@@ -16,7 +16,8 @@ anchor a twice-seen Bloom filter has not seen twice cannot match and are never
 sent.  Blocks are dealt by anchor; a bucket's task finds for every window the
 smallest doc_id.  Equal blocks of one task collapse first: all but the smallest
 doc_id's are known duplicates and only their spans travel, so a passage that a
-third of the documents hold reaches its bucket once a task.
+third of the documents hold reaches its bucket from one document a task, at every
+place where that document holds it.
 
 Defined cases: null or empty text has no words; rows of one doc_id count as one
 document; rows without doc_id are no reference and lose nothing; only doc_id and
@@ -101,17 +102,18 @@ def _blocks(shared, bits: int, buckets: int):
                 continue
             doc, start, length, least, content, window = (np.concatenate(x) for x in parts)
             cut = np.r_[0, np.cumsum(length)]
-            order = np.lexsort((doc, content))
+            order = np.lexsort((start, doc, content))
             same = np.r_[False, content[order][1:] == content[order][:-1]]
             group = np.cumsum(~same) - 1
             smallest = doc[order][np.flatnonzero(~same)][group]
-            first_of = np.zeros(len(doc), bool)
-            first_of[order] = ~same
+            # another batch may hold an earlier document, so every place of the smallest one here is asked for
+            asked = np.zeros(len(doc), bool)
+            asked[order] = (doc[order] == smallest) & ~(same & np.r_[False, start[order][1:] == start[order][:-1]])
             later = np.zeros(len(doc), bool)
             later[order] = doc[order] > smallest
             bucket = (least % np.uint64(buckets)).astype(np.int64)
             rows = []
-            send = np.flatnonzero(first_of)
+            send = np.flatnonzero(asked)
             send = send[np.argsort(bucket[send], kind="stable")]
             edge = np.flatnonzero(np.r_[True, np.diff(bucket[send]) != 0, True]) if len(send) else []
             for lo, hi in zip(edge[:-1], edge[1:]):
