@@ -10,10 +10,11 @@ The method then asks what else reveals a protected value.  Terms within ``REACH`
 code points of an occurrence co-occur with it.  Over the corpus:
 
     support(t, e)    distinct surroundings of e that hold t (copies count once)
-    P(e | t)         support / documents that hold t
+    P(e | t)         documents that hold t beside e / documents that hold t
     disclosure       log2(P(e | t) N / documents that hold e) over log2(N / documents that hold e)
 
-that is, the share of e's self-information that seeing t gives.  A term with
+that is, the share of e's self-information that seeing t gives.  All counts but
+the support are of documents, copies included.  A term with
 support of at least ``SUPPORT`` and a disclosure of at least ``THRESHOLD`` is
 generalised: its occurrences near e become spans of kind ``term``.
 
@@ -129,7 +130,7 @@ def _near(rows: DataFrame) -> DataFrame:
 def _disclosure(documents: str) -> Column:
     """Share of an entity's self-information that a term in so many documents gives."""
     rare = F.log2(F.col("n") / F.col("n_entity"))
-    gain = F.log2(F.least(F.col("support") / F.col(documents), F.lit(1.0)) * F.col("n") / F.col("n_entity"))
+    gain = F.log2(F.least(F.col("n_pair") / F.col(documents), F.lit(1.0)) * F.col("n") / F.col("n_entity"))
     return gain / rare
 
 
@@ -140,18 +141,18 @@ def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
     count for the corpus's the disclosure is an upper bound, so pairs it already puts
     below the threshold go first; common words never reach the count over the corpus.
     """
-    total = F.broadcast(docs.agg(F.count(F.lit(1)).cast("double").alias("n")))
+    total = F.broadcast(docs.agg(F.countDistinct("doc_id").cast("double").alias("n")))
     entities = near.groupBy("entity").agg(F.countDistinct("doc_id").alias("n_entity"))
     at_least = near.groupBy("term").agg(F.countDistinct("doc_id").alias("n_near"))
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("place").alias("support")).filter(F.col("support") >= SUPPORT)
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("place").alias("support"), F.countDistinct("doc_id").alias("n_pair")).filter(F.col("support") >= SUPPORT)
     pairs = written(
         pairs.join(entities, "entity").join(at_least, "term").join(total).filter("n_entity < n").filter(_disclosure("n_near") >= THRESHOLD)
-        .select("entity", "term", "support", "n_entity", "n")
+        .select("entity", "term", "n_pair", "n_entity", "n")
     )
     wanted = written(pairs.select("term").distinct())
     terms = (
-        texts(docs).select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("term"))
-        .join(broadcastable(wanted, 8 << 20), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+        texts(docs).select("doc_id", F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("term"))
+        .join(broadcastable(wanted, 8 << 20), "term", "left_semi").groupBy("term").agg(F.countDistinct("doc_id").alias("n_term"))
     )
     return pairs.join(terms, "term").select("entity", "term", _disclosure("n_term").alias("disclosure")).filter(F.col("disclosure") >= THRESHOLD)
 

@@ -4,7 +4,7 @@ from brute import sha, substrings
 from pyspark.sql import functions as F
 from test_operators import frame
 
-from orderloom.llm import substring_dedup
+from orderloom.llm import pii, substring_dedup
 
 
 def words(name, n):
@@ -26,3 +26,13 @@ def test_substrings_of_repeated_rows(spark):
     docs = [(2, passage), (5, f"{passage} and {passage}")]
     rows = substring_dedup.dedup_substrings(frame(spark, docs + docs[1:]).coalesce(1)).withColumn("d", F.sha2("text", 256)).collect()
     assert sorted((r.doc_id, r.n_removed) for r in rows) == [(2, 0), (5, 240), (5, 240)]
+
+
+def test_pii_terms_of_copied_documents(spark):
+    text = lambda i: f"foo{i} zebrafish is at bob@example.org today bar{i}"
+    docs = [(i, text(i)) for i in range(5)] + [(1000 + i, text(0)) for i in range(1000)]
+    docs += [(5000 + i, f"some other text number {i} that is at home today") for i in range(4000)]
+    rows = {x.doc_id: x.added for x in pii.identified(frame(spark, docs + docs[:9])).collect()}
+    found = {d: [t[s.start:s.stop] for s in rows[d]] for d, t in docs}
+    assert all(("zebrafish" in found[d]) == (d < 5000) for d, _ in docs)
+    assert not any("today" in found[d] for d, _ in docs)
