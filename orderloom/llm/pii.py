@@ -6,20 +6,23 @@ runs.  A kind's spans come from splitting at its matches: lengths of gaps and
 matches in turn are the positions.  Cheap tests for a needed character keep
 documents without any off the patterns.
 
-The method then asks what else reveals a protected value.  Terms within ``REACH``
-code points of an occurrence co-occur with it.  Over the corpus:
+The method then asks what else reveals a protected value.  A term co-occurs with
+every value of its document, wherever both stand.  Over the corpus:
 
-    support(t, e)    distinct surroundings of e that hold t (copies count once)
-    P(e | t)         documents that hold t beside e / documents that hold t
+    support(t, e)    distinct surroundings of e (``REACH`` code points to each side of
+                     its least one in a document) among the documents that hold both
+    P(e | t)         documents that hold t and e / documents that hold t
     disclosure       log2(P(e | t) N / documents that hold e) over log2(N / documents that hold e)
 
 that is, the share of e's self-information that seeing t gives.  All counts but
-the support are of documents, copies included.  A term with
-support of at least ``SUPPORT`` and a disclosure of at least ``THRESHOLD`` is
-generalised: its occurrences near e become spans of kind ``term``.
+the support are of documents, copies included; copies add no surroundings.  A term
+with support of at least ``SUPPORT`` and a disclosure of at least ``THRESHOLD`` is
+generalised: its occurrences outside of base spans become spans of kind ``term``
+in every document, whether it spells e out or not.
 
-Terms count once a document and combine before they shuffle; candidate terms are
-written first, and broadcast only if the written table is small.
+Only values with enough surroundings can have disclosing terms, so terms are taken
+from their documents only, and terms too common there go before they meet values.
+Candidate terms are written first, and broadcast only if the written table is small.
 
 Defined cases: null text is empty; rows of one doc_id share their added spans;
 only doc_id and text are read; an empty table gives no rows.
@@ -46,13 +49,16 @@ PATTERNS = {
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){12}[0-9]", "phone": r"\+[0-9]"}
 
 REACH, SUPPORT, THRESHOLD = 64, 3, 0.9
-TERM = r"[\p{L}\p{N}_]{3,}"
+WORD, LEAST = r"\p{L}\p{N}_", 3
+#: Stands for a base span; a word that it touches is no term.
+MARK = "\uE000"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: Column | str) -> Column:
     """array<struct<start, value>> of a pattern's leftmost non-overlapping matches."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.arrays_zip(
-        F.transform(F.split(text, pattern), lambda g: F.length(g)).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")
+        F.transform(F.split(text, pattern), lambda g: F.length(g)).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("value")
     )
     kind = "struct<at:int,out:array<struct<start:int,value:string>>>"
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out")).cast(kind)
@@ -107,24 +113,32 @@ def found(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.concat(*(of(i, k) for i, k in enumerate(KINDS))).alias("spans"))
 
 
-def _near(rows: DataFrame) -> DataFrame:
-    """(doc_id, entity, place, term, start, stop): terms around each base span."""
+def _entities(rows: DataFrame) -> DataFrame:
+    """(doc_id, entity, place): the values of each document, once, with their surroundings."""
     # outer explodes: an inferred non-empty filter would move below and match twice
-    one = rows.select("doc_id", "text", "spans", F.explode_outer("spans").alias("e")).filter("e is not null")
+    one = rows.select("doc_id", "text", F.explode_outer("spans").alias("e")).filter("e is not null and doc_id is not null")
     low = F.greatest(F.col("e.start") - REACH, F.lit(0))
-    one = one.select(
-        "doc_id", "spans", F.concat_ws(":", F.col("e.rank").cast("string"), F.lower("e.value")).alias("entity"),
-        low.alias("low"), (F.col("e.stop") + REACH).alias("high"), F.length("text").alias("size"),
-        F.substring("text", low + 1, F.col("e.stop") + REACH - low).alias("window"),
-    ).withColumn("place", F.xxhash64("window"))
-    one = one.withColumn("terms", located(F.col("window"), TERM))
-    term = one.select("doc_id", "spans", "entity", "place", "low", "high", "size", F.explode_outer("terms").alias("t")).select(
-        "doc_id", "spans", "entity", "place", "low", "high", "size", F.lower("t.value").alias("term"),
-        (F.col("low") + F.col("t.start")).alias("start"), (F.col("low") + F.col("t.start") + F.length("t.value")).alias("stop"),
-    )
-    whole = ((F.col("start") > F.col("low")) | (F.col("low") == 0)) & ((F.col("stop") < F.col("high")) | (F.col("high") >= F.col("size")))
-    outside = ~F.exists("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
-    return term.filter(whole & outside).select("doc_id", "entity", "place", "term", "start", "stop")
+    return one.select(
+        "doc_id", F.concat_ws(":", F.col("e.rank").cast("string"), F.lower("e.value")).alias("entity"),
+        F.xxhash64(F.substring("text", low + 1, F.col("e.stop") + REACH - low)).alias("place"),
+    ).groupBy("doc_id", "entity").agg(F.min("place").alias("place"))
+
+
+def _outside() -> Column:
+    """The text with MARK for each span."""
+    kind = "struct<at:int,out:string>"
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substring(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], gap, F.lit(MARK)).alias("out")).cast(kind)
+
+    spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind)
+    return F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+
+
+def _words(text: Column | str) -> Column:
+    return F.array_distinct(F.split(text, f"[^{WORD}{MARK}]+"))
 
 
 def _disclosure(documents: str) -> Column:
@@ -134,39 +148,63 @@ def _disclosure(documents: str) -> Column:
     return gain / rare
 
 
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs that exceed the threshold.
+def disclosing(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, disclosure) of the pairs that exceed the threshold, and
+    (doc_id, word, term) of the documents that hold a candidate term as written.
 
-    A term is in at least the documents where it stands near some entity.  With that
-    count for the corpus's the disclosure is an upper bound, so pairs it already puts
-    below the threshold go first; common words never reach the count over the corpus.
+    A disclosing term is in at most n_entity (N / n_entity) ** (1 - THRESHOLD)
+    documents, and in at least those of the entity's documents that hold it; what
+    exceeds the bound of every entity of its document can't reach the threshold.
     """
     total = F.broadcast(docs.agg(F.countDistinct("doc_id").cast("double").alias("n")))
-    entities = near.groupBy("entity").agg(F.countDistinct("doc_id").alias("n_entity"))
-    at_least = near.groupBy("term").agg(F.countDistinct("doc_id").alias("n_near"))
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("place").alias("support"), F.countDistinct("doc_id").alias("n_pair")).filter(F.col("support") >= SUPPORT)
+    entities = written(_entities(rows))
+    many = (
+        entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.countDistinct("place").alias("places"))
+        .filter(F.col("places") >= SUPPORT).join(total).filter("n_entity < n")
+        .withColumn("most", F.col("n_entity") * F.pow(F.col("n") / F.col("n_entity"), F.lit(1 - THRESHOLD)) + 1).drop("places")
+    )
+    many = written(many)
+    held = written(entities.join(broadcastable(many, 8 << 20), "entity"))
+    most = written(held.groupBy("doc_id").agg(F.max("most").alias("most")))
+    # rows of one doc_id are one document
+    bags = (
+        rows.join(broadcastable(most, 8 << 20), "doc_id").select("doc_id", "most", _outside().alias("out"))
+        .groupBy("doc_id").agg(F.max("most").alias("most"), F.array_distinct(F.transform(_words(F.concat_ws(" ", F.collect_set("out"))), lambda w: F.lower(w))).alias("terms"))
+    )
+    bags = written(bags)
+    terms = bags.select("doc_id", "most", F.explode_outer("terms").alias("term")).filter((F.length("term") >= LEAST) & ~F.contains("term", F.lit(MARK)))
+    some = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"), F.max("most").alias("most"))
+    some = written(some.filter((F.col("n_near") >= SUPPORT) & (F.col("n_near") <= F.col("most"))).select("term"))
+    near = terms.select("doc_id", "term").join(broadcastable(some, 8 << 20), "term")
     pairs = written(
-        pairs.join(entities, "entity").join(at_least, "term").join(total).filter("n_entity < n").filter(_disclosure("n_near") >= THRESHOLD)
-        .select("entity", "term", "n_pair", "n_entity", "n")
+        near.join(held, "doc_id").groupBy("entity", "term")
+        .agg(F.countDistinct("place").alias("support"), F.count(F.lit(1)).alias("n_pair"), F.max("n_entity").alias("n_entity"), F.max("n").alias("n"))
+        .filter(F.col("support") >= SUPPORT)
     )
     wanted = written(pairs.select("term").distinct())
-    terms = (
-        texts(docs).select("doc_id", F.explode_outer(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("term"))
-        .join(broadcastable(wanted, 8 << 20), "term", "left_semi").groupBy("term").agg(F.countDistinct("doc_id").alias("n_term"))
+    occur = written(
+        texts(docs).filter("doc_id is not null").select("doc_id", F.explode_outer(_words("text")).alias("word")).withColumn("term", F.lower("word"))
+        .join(broadcastable(wanted, 8 << 20), "term").select("doc_id", "word", "term")
     )
-    return pairs.join(terms, "term").select("entity", "term", _disclosure("n_term").alias("disclosure")).filter(F.col("disclosure") >= THRESHOLD)
+    counts = occur.groupBy("term").agg(F.countDistinct("doc_id").alias("n_term"))
+    scored = pairs.join(counts, "term").select("entity", "term", _disclosure("n_term").alias("disclosure")).filter(F.col("disclosure") >= THRESHOLD)
+    return scored, occur
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, base: array<struct<rank, start, stop>>, added: array<struct<start, stop>>."""
     rows = found(docs)
-    near = written(_near(rows))
-    flagged = (
-        near.join(disclosing(docs, near), ["entity", "term"]).groupBy("doc_id")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("added"))
+    scored, occur = disclosing(docs, rows)
+    flagged = written(scored.select("term").distinct())
+    held = written(occur.join(broadcastable(flagged, 8 << 20), "term").groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("words")))
+    rows = rows.join(broadcastable(held, 8 << 20), "doc_id", "left")
+    pattern = F.concat(F.lit(f"(?<![{WORD}])(?:"), F.array_join("words", "|"), F.lit(f")(?![{WORD}])"))
+    place = F.transform(located(F.col("text"), pattern), lambda t: F.struct(t["start"].alias("start"), (t["start"] + F.length(t["value"])).alias("stop")))
+    free = F.filter(place, lambda t: ~F.exists("spans", lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"])))
+    return rows.select(
+        "doc_id", F.transform("spans", lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("base"),
+        F.when(F.col("words").isNotNull(), free).otherwise(F.array().cast("array<struct<start:int,stop:int>>")).alias("added"),
     )
-    base = rows.select("doc_id", F.transform("spans", lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("base"))
-    return base.join(flagged, "doc_id", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:int,stop:int>>")))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

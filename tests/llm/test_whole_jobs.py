@@ -36,3 +36,13 @@ def test_pii_terms_of_copied_documents(spark):
     found = {d: [t[s.start:s.stop] for s in rows[d]] for d, t in docs}
     assert all(("zebrafish" in found[d]) == (d < 5000) for d, _ in docs)
     assert not any("today" in found[d] for d, _ in docs)
+
+
+def test_pii_terms_far_off_and_without_the_value(spark):
+    away = " ".join(f"filler{k}" for k in range(40))
+    docs = [(i, f"Zebrafish {i} {away} foo{i} is at bob@example.org today bar{i}") for i in range(6)]
+    docs += [(50, f"another one on the zebrafish and xzebrafish {away}")]
+    docs += [(100 + i, f"some other text number {i} that is at home today {away}") for i in range(300)]
+    rows = {x.doc_id: x.added for x in pii.identified(frame(spark, docs)).collect()}
+    found = {d: [t[s.start:s.stop] for s in rows[d]] for d, t in docs}
+    assert found == {d: ["Zebrafish"] if d < 6 else ["zebrafish"] if d == 50 else [] for d, _ in docs}
