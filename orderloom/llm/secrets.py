@@ -12,8 +12,8 @@ Documents that hold none of the bytes a match or a wrapping needs are told apart
 for a whole batch at once and never reach a regular expression.
 
 Defined cases: null text is empty; texts are scanned whole; rows may repeat; an
-empty table gives no rows.  Decompression of one layer stops at ``MAX_LAYER``
-characters (a bomb guard; that layer is scanned as far as it came).
+empty table gives no rows.  Streams are decompressed through all members to their
+end; a layer is held whole, so nothing guards a worker's memory from a bomb.
 """
 
 from __future__ import annotations
@@ -44,9 +44,10 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 ESCAPED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run that mixes the alphabets is read as a whole and in the parts of each.
+PARTS = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
 MIN_WRAPPED = 16
-MAX_LAYER = 1 << 24
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -119,22 +120,44 @@ def _escapes(run: str) -> Iterator[tuple[str, int, int]]:
         i += 1
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Decompressed bytes if the data begin like a compressed stream."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(47).decompress(data, MAX_LAYER)
-        if data[:1] == b"\x78" and len(data) > 6 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_LAYER)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_LAYER)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MAX_LAYER)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        pass
+def _codec(data: bytes):
+    """What makes a decompressor for data that begin like a compressed stream."""
+    if data[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 6 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
     return None
 
 
+def _inflate(data: bytes) -> bytes | None:
+    """All members decompressed, if the data begin like a compressed stream; of a damaged one what comes before."""
+    out = []
+    while (make := _codec(data)) is not None:
+        stream, rest = make(), b""
+        try:
+            for at in range(0, len(data), 1 << 12):
+                out.append(stream.decompress(data[at:at + (1 << 12)]))
+                if stream.eof:
+                    rest = stream.unused_data + data[at + (1 << 12):]
+                    break
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            pass
+        data = rest
+    return b"".join(out) or None
+
+
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """What nested compressed streams hold, until nothing unwraps."""
+    seen = set()
+    while (data := _inflate(data)) is not None and (digest := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
+        seen.add(digest)
+        yield data
+
+
 def _readable(data: bytes) -> str | None:
     """The bytes as text, if they are UTF-8 and nearly all of it can be printed."""
     try:
@@ -151,25 +174,31 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
         yield below
     if "\\" in layer.text and (below := _replaced(layer, ESCAPE, _escapes)):
         yield below
-    for m in BASE64.finditer(layer.text):
-        body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
+    for start, stop in _runs(layer.text):
+        body = layer.text[start:stop].rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
             body = body[:-1]
         data = base64.b64decode(body + "=" * (-len(body) % 4))
-        packed = _inflate(data)
-        text = _readable(data if packed is None else packed)
+        for text in filter(None, map(_readable, _unpacked(data))):  # a compressed stream's characters come from all of it
+            a, b = layer.origin(start, stop)
+            yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)))
+        text = _readable(data)
         if text is None:
             continue
-        if packed is not None:  # a compressed stream's characters come from all of it
-            a, b = layer.origin(m.start(), m.end())
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b))
-            continue
         sizes = np.array([len(c.encode()) for c in text])
         end = np.cumsum(sizes)
-        first, last = m.start() + (end - sizes) * 4 // 3, m.start() + np.minimum((end - 1) * 4 // 3 + 1, len(body) - 1)
+        first, last = start + (end - sizes) * 4 // 3, start + np.minimum((end - 1) * 4 // 3 + 1, len(body) - 1)
         yield Layer(text, layer.low[first], layer.high[last])
 
 
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what may be base64: whole runs, then the parts of a mixed run in one alphabet."""
+    for m in BASE64.finditer(text):
+        yield m.span()
+        if not {"+", "/", "-", "_"}.isdisjoint(m.group()):
+            yield from sorted({p.span() for part in PARTS for p in part.finditer(text, *m.span())} - {m.span()})
+
+
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a text as (start, kind, end)."""
     base = scan(text)

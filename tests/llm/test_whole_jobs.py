@@ -1,10 +1,17 @@
 """Inputs on which an operator once did less than its whole job."""
 
+import base64
+import bz2
+import gzip
+import lzma
+import random
+import zlib
+
 from brute import sha, substrings
 from pyspark.sql import functions as F
 from test_operators import frame
 
-from orderloom.llm import pii, substring_dedup
+from orderloom.llm import pii, secrets, substring_dedup
 
 
 def words(name, n):
@@ -46,3 +53,27 @@ def test_pii_terms_far_off_and_without_the_value(spark):
     rows = {x.doc_id: x.added for x in pii.identified(frame(spark, docs)).collect()}
     found = {d: [t[s.start:s.stop] for s in rows[d]] for d, t in docs}
     assert found == {d: ["Zebrafish"] if d < 6 else ["zebrafish"] if d == 50 else [] for d, _ in docs}
+
+
+def _assigned(packed, encode=base64.b64encode):
+    return any(k == 0 for _, k, _ in secrets.find(f"x {encode(packed).decode()} y")[1])
+
+
+def test_secrets_in_nested_streams():
+    inner = b'secret: "hunter2hunter2"'
+    assert all(map(_assigned, (gzip.compress(gzip.compress(inner)), gzip.compress(lzma.compress(inner)), bz2.compress(zlib.compress(gzip.compress(inner))))))
+
+
+def test_secrets_in_url_safe_runs():
+    r = random.Random(1)
+    for pack in (zlib.compress, bz2.compress):
+        for _ in range(50):
+            noise = "".join(r.choice("abcdefghijklmnop ") for _ in range(200))
+            assert _assigned(pack(f"{noise} secret: hunter2hunter2".encode()), base64.urlsafe_b64encode)
+
+
+def test_secrets_behind_the_first_member_and_far_in():
+    late = b" secret: hunter2hunter2"
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        assert _assigned(pack(b"nothing here") + pack(late))
+    assert _assigned(zlib.compress(b"! " * (1 << 23) + b"!" + late))
