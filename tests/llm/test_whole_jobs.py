@@ -7,6 +7,7 @@ import lzma
 import random
 import zlib
 
+import corpus_pipeline
 from brute import sha, substrings
 from pyspark.sql import functions as F
 from test_operators import frame
@@ -77,3 +78,12 @@ def test_secrets_behind_the_first_member_and_far_in():
     for pack in (gzip.compress, bz2.compress, lzma.compress):
         assert _assigned(pack(b"nothing here") + pack(late))
     assert _assigned(zlib.compress(b"! " * (1 << 23) + b"!" + late))
+
+
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
+    text = words("w", 1000).split(" ")
+    changed = ["other" if i % 47 == 20 else w for i, w in enumerate(text)]
+    grams = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    assert len(grams(text) & grams(changed)) >= 0.8 * len(grams(text) | grams(changed))
+    df = frame(spark, [(1, " ".join(text)), (2, " ".join(changed)), (3, words("v", 50))])
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {1, 3}
