@@ -1,6 +1,6 @@
 import corpus_pipeline
 from brute import lines
-from test_operators import corpus, frame
+from test_llm_operators import corpus, frame
 
 from orderloom.llm import ngram_join
 

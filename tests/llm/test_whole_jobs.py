@@ -10,7 +10,7 @@ import zlib
 import corpus_pipeline
 from brute import sha, substrings
 from pyspark.sql import functions as F
-from test_operators import frame
+from test_llm_operators import frame
 
 from orderloom.llm import pii, secrets, substring_dedup
 
