@@ -12,13 +12,16 @@ pairs.  Ids and token byte offsets are kept; decoding gathers from them.
 
 The classes come from the interpreter's Unicode tables by a rule, the rank file
 is a parameter.  Defined cases: null text is empty and has no tokens; texts of
-any length are encoded whole; rows may repeat; an empty table gives no rows.
+any length are encoded whole; rows may repeat and a null doc_id is carried along;
+columns other than those asked for are kept out, so names may clash; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -325,7 +328,7 @@ def encode_chunk(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray)
 _LOADED: dict[int, Vocabulary] = {}
 
 
-def _encode(shared, with_offsets: bool, with_decoded: bool):
+def _encode(shared, with_offsets: bool, with_decoded: bool, with_digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = shared.value
         key = hash(raw)
@@ -334,36 +337,39 @@ def _encode(shared, with_offsets: bool, with_decoded: bool):
         vocabulary = _LOADED[key]
         for batch in batches:
             data, offsets = B.text_buffers(batch.column("text"))
-            ids, where, decoded = [], [], []
-            for a, b in B.chunks(offsets, 1 << 20):
+            rest = [c for c in batch.schema.names if c != "text"]
+            for a, b in B.chunks(offsets, 1 << 20):  # a batch leaves as it goes, a chunk at a time
                 found, counts = encode_chunk(vocabulary, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 places = vocabulary.offsets_of(found)
-                out = vocabulary.decode(found, places).tobytes() if with_decoded else b""
+                out = vocabulary.decode(found, places).tobytes() if with_decoded or with_digest else b""
                 raw_ids = found.tobytes()
-                for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                    ids.append(raw_ids[4 * lo:4 * hi])
-                    if with_decoded:
-                        decoded.append(out[places[lo]:places[hi]])
-                    if with_offsets:
-                        where.append((places[lo:hi] - places[lo]).astype("<u4").tobytes())
-            rest = [c for c in batch.schema.names if c != "text"]
-            columns = [*(batch.column(c) for c in rest), pa.array(ids, pa.binary())]
-            names = [*rest, "ids"]
-            for name, some, values in (("offsets", with_offsets, where), ("decoded", with_decoded, decoded)):
-                if some:
-                    columns.append(pa.array(values, pa.binary()))
-                    names.append(name)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                spans = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+                columns, names = [batch.column(c).slice(a, b - a) for c in rest], list(rest)
+                columns.append(pa.array([raw_ids[4 * lo:4 * hi] for lo, hi in spans], pa.binary()))
+                names.append("ids")
+                if with_offsets:
+                    columns.append(pa.array([(places[lo:hi] - places[lo]).astype("<u4").tobytes() for lo, hi in spans], pa.binary()))
+                    names.append("offsets")
+                if with_decoded:
+                    columns.append(pa.array([out[places[lo]:places[hi]] for lo, hi in spans], pa.binary()))
+                    names.append("decoded")
+                if with_digest:
+                    columns.append(pa.array([hashlib.sha256(out[places[lo]:places[hi]]).hexdigest() for lo, hi in spans]))
+                    names.append("decoded_sha256")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
         vocabulary.cache.clear()  # worker processes live on and serve other stages
         B.release()
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary_path: str | None = None, with_offsets: bool = False, with_decoded: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary_path: str | None = None, with_offsets: bool = False, with_decoded: bool = False,
+    carry: tuple[str, ...] = (), with_digest: bool = False,
+) -> DataFrame:
     """doc_id, the ``carry`` columns, ids (little-endian unsigned 32-bit), and, where asked for, the byte
-    offset of each token (likewise) and the bytes that the ids decode to.
+    offset of each token (likewise), the bytes that the ids decode to, and those bytes' SHA-256.
 
     The rank file (under a megabyte) is read here and sent to the executors once.
     """
@@ -375,16 +381,13 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None, with_offsets: bo
     with open(vocabulary_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
-    schema = f"{kinds}, ids binary" + ", offsets binary" * with_offsets + ", decoded binary" * with_decoded
-    return docs.select("doc_id", *carry, "text").mapInArrow(_encode(shared, with_offsets, with_decoded), schema)
+    schema = f"{kinds}, ids binary" + ", offsets binary" * with_offsets + ", decoded binary" * with_decoded + ", decoded_sha256 string" * with_digest
+    return docs.select("doc_id", *carry, "text").mapInArrow(_encode(shared, with_offsets, with_decoded, with_digest), schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select(
-        "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return encoded.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents"), with_decoded=True))
+    return digests(encode(table(spark, sf_dir, "documents"), with_digest=True))
