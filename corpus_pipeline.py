@@ -43,10 +43,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, the byte offset of each token, and the
     digest of what the ids decode to."""
-    rows = bpe.encode(docs, with_offsets=True, with_decoded=True, carry=("lang", "source"))
-    return rows.select(
-        "doc_id", "lang", "source", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "offsets", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    rows = bpe.encode(docs, with_offsets=True, with_digest=True, carry=("lang", "source"))
+    return rows.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "offsets", "decoded_sha256")
 
 
 STAGES = [
