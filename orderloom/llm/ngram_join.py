@@ -1,30 +1,36 @@
 """N-gram Jaccard join: globally ordered shingle sets in prefix trees.
 
-A document's set is its distinct 4-word shingles (A-Z lower-cased; fewer words:
-the whole sequence).  Two documents link if 100 * intersection >= 85 * union.
-The global order puts shingles of one document only first, then the rest by
-hash.  A pair that links shares one of the first ``n - ceil(0.85 n) + 1`` shingles
-of both sets, so:
-
-1. Tasks deal their shingles by hash; a bucket's task tells which are in two
-   documents.  A shingle that a task already sees in two of its documents needs
-   no answer and isn't dealt, so a shingle that everybody has meets its bucket
-   once a task.  A document whose prefix is all its own links with nobody.
-2. Equal sets collapse to their smallest doc_id.  Step 1 again, among those.
-3. Documents joined by a shared prefix shingle form groups (connected
-   components).  A group is cut into blocks of like size class and at most about
-   ``BLOCK`` sets; two blocks meet where they share a prefix shingle and their size
-   classes are neighbours.
-4. A task puts the sets of its blocks into a prefix tree.  Every set traverses it:
+A text's set is its distinct 4-word shingles (A-Z lower-cased; fewer words: the
+whole sequence).  Two texts link if 100 * intersection >= 85 * union.  Equal sets
+are one set from the first step on, named by their digest, so copies cost nothing.
+
+1. Sets are ordered by hash.  Two that link share at least ``l`` of the first
+   ``n - ceil(0.85 n) + l`` shingles of both, with l = ``LEAD`` of the smaller set.
+   Tasks deal only those, by hash; a bucket tells how many of each set's are in
+   another set.  A shingle that a task sees in two of its own sets needs no answer:
+   one stands for it, so a shingle that everybody has meets its bucket once a task.
+   Sets with too few shared ones link with nobody; few others remain.
+2. The whole sets of those are dealt likewise.  The order is now: shingles of one
+   set only first, then the rest by hash; a pair that links shares one of the first
+   ``n - ceil(0.85 n) + 1`` of both, and the shingles of one set only needn't travel on.
+3. Sets joined by a shared prefix shingle form groups (connected components), cut
+   into blocks of like size class and at most about ``BLOCK`` sets.  Each block meets
+   ``PIVOTS`` sets of its group and class first, which puts a large group of near
+   copies into one class at once.
+4. Blocks are formed anew, large classes apart.  Two blocks meet where they share a
+   prefix shingle, their size classes are neighbours and they aren't of one class
+   already: n sets of one class and m others cost n m / BLOCK and not n squared.
+5. A task puts the sets of its blocks into a prefix tree.  Every set traverses it:
    the overlap with a shared path is counted once for all sets below, subtrees are
    pruned when overlap plus remaining length can't reach the threshold or their
    sizes can't, and when all below are in the set's class already.
-5. Links become components.
+6. Links become components.
 
-Sets are exact up to 64-bit shingle hashes.  Defined cases: null or blank text
-has an empty set and links with nothing; rows of one doc_id share its class and
-each row is returned; a null doc_id gets a null class; only doc_id and text are
-read; an empty table gives no rows.
+Sets are exact up to 64-bit hashes of shingles and sets.  Defined cases: null or
+blank text has an empty set and links with nothing; every row is judged by its own
+text, so rows that share a doc_id may fall into different classes; a class is named
+by its smallest doc_id; a null doc_id gets a null class and links nobody; only
+doc_id and text are read, other columns may clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,11 +45,14 @@ from pyspark.sql import functions as F
 
 from . import _bloom
 from . import _bytes as B
-from ._plan import bucket_count, small_batches, table, texts, written
+from ._plan import broadcastable, bucket_count, small_batches, table, texts, written
 from .components import UnionFind, connected
-from .substring_dedup import ranges
 
-SIZE, PERCENT, BLOCK = 4, 85, 512
+SIZE, PERCENT, BLOCK, PIVOTS = 4, 85, 512, 4
+#: Share of a set that the first step looks at beyond the shortest prefix.
+LEAD = 0.08
+#: A task deals so many shingles at a time.
+FLUSH = 1 << 20
 
 
 def needed(n: int, m: int, percent: int = PERCENT) -> int:
@@ -69,6 +78,22 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> Ite
             yield words[:0]
 
 
+def set_id(grams: np.ndarray) -> tuple[bytes, int]:
+    """A set's digest, and its first 64 bits as the set's name."""
+    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+    return digest, int.from_bytes(digest[:8], "little", signed=True)
+
+
+def least_shared(n, percent: int = PERCENT):
+    """Shingles that a set of n shares with each partner among the first of both."""
+    return np.maximum(1, np.ceil(LEAD * -(-percent * n // 100)).astype(np.int64))
+
+
+def first_part(n, percent: int = PERCENT):
+    """How many of a set's first shingles step 1 deals."""
+    return np.minimum(n, n - -(-percent * n // 100) + np.maximum(1, np.ceil(LEAD * n).astype(np.int64)))
+
+
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,14 +102,41 @@ def _sketch(size: int):
             for a, b in B.chunks(offsets):
                 for grams in shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], size):
                     sizes.append(len(grams))
-                    keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "set_key"]
-            )
+                    keys.append(set_id(grams))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int64()),
+            ], names=["doc_id", "n_shingles", "set_key", "sid"])
 
     return run
 
 
+def _sets(batches: Iterator[pa.RecordBatch], size: int, cut) -> Iterator[tuple[np.ndarray, ...]]:
+    """(names, numbers of shingles, shingles, whole sizes) of the distinct sets of some texts,
+    about FLUSH shingles at a time; ``cut`` tells how many of a set's first ones are wanted."""
+    held: dict[int, tuple[np.ndarray, int]] = {}
+    weight = 0
+
+    def flush():
+        names = np.fromiter(held, np.int64, len(held))
+        grams, sizes = [x[0] for x in held.values()], np.array([x[1] for x in held.values()], np.int64)
+        return names, np.array([len(g) for g in grams], np.int64), np.concatenate(grams), sizes
+
+    for batch in batches:
+        _, known = _bloom.batch_ids(batch.column(0))
+        data, offsets = B.text_buffers(batch.column(1))
+        for a, b in B.chunks(offsets):
+            for i, grams in enumerate(shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], size), a):
+                if not known[i] or not len(grams) or (name := set_id(grams)[1]) in held:
+                    continue
+                held[name] = grams[:cut(len(grams))].copy(), len(grams)
+                weight += len(held[name][0])
+            if weight >= FLUSH:
+                yield flush()
+                held, weight = {}, 0
+    if held:
+        yield flush()
+
+
 #: Columns of dealt shingles: documents, how many shingles of each follow, sizes of their whole sets.
 _PARTS = ("docs", "counts", "sizes", "grams")
 _KINDS = ("<i8", "<u4", "<u4", "<u8")
@@ -124,31 +176,22 @@ def _deal(rows: Iterator[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.R
         B.release()
 
 
-def _deal_texts(buckets: int, size: int):
-    def rows(batches):
-        for batch in batches:
-            ids, known = _bloom.batch_ids(batch.column(0))
-            data, offsets = B.text_buffers(batch.column(1))
-            for a, b in B.chunks(offsets, 1 << 22):
-                near = offsets[a:b + 1] - offsets[a]
-                part = data[offsets[a]:offsets[b]]
-                sets = [g for lo, hi in B.chunks(near) for g in shingle_sets(part[near[lo]:near[hi]], near[lo:hi + 1] - near[lo], size)]
-                use = [i for i in range(b - a) if known[a + i]]
-                count = np.array([len(sets[i]) for i in use], np.int64)
-                yield ids[a:b][use], count, np.concatenate([sets[i] for i in use] or [np.zeros(0, np.uint64)]), count
-
-    return lambda batches: _deal(rows(batches), buckets)
-
+def _deal_texts(buckets: int, size: int, cut=lambda n: n):
+    return lambda batches: _deal(_sets(batches, size, cut), buckets)
 
-def _deal_sets(buckets: int):
-    def rows(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                sets = [np.frombuffer(x.as_py(), "<u8") for x in part.column("grams")]
-                yield part.column("doc_id").to_numpy(), np.array([len(x) for x in sets]), np.concatenate(sets), part.column("n").to_numpy()
 
-    return lambda batches: _deal(rows(batches), buckets)
+def _tally(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of each set's shingles in the bucket another set has."""
+    ids, counts, _, grams = _parts(batches)
+    doc = np.repeat(ids, counts.astype(np.int64))
+    if key[0].as_py() >= 0:
+        order = np.argsort(grams, kind="stable")
+        g, d = grams[order], doc[order]
+        head = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        many = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
+        doc = d[np.repeat(many, np.diff(np.r_[head, len(g)]))]
+    names, count = np.unique(doc, return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(count, pa.int64())], names=["sid", "n"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
@@ -169,7 +212,6 @@ def _shared(homes: int):
             order = np.argsort(grams, kind="stable")
             g, d = grams[order], doc[order]
             head = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            # rows of one doc_id are one document
             many = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
             keep = order[np.repeat(many, np.diff(np.r_[head, len(g)]))]
             doc, size, grams = doc[keep], size[keep], grams[keep]
@@ -218,8 +260,8 @@ def _assembled(percent: int):
 
 def _candidates(dealt: DataFrame, buckets: int, percent: int) -> DataFrame:
     """(doc_id, n, grams, lead) from dealt shingles.  Answers travel packed by home, a
-    fixed share of documents, so rows follow buckets and not buckets times documents."""
-    homes = max(1, buckets // 4)
+    share of the sets as large as a bucket."""
+    homes = buckets
     packed = dealt.groupBy("bucket").applyInArrow(_shared(homes), "home bigint, docs binary, counts binary, sizes binary, grams binary")
     return packed.groupBy("home").applyInArrow(_assembled(percent), "doc_id bigint, n bigint, grams binary, lead bigint")
 
@@ -274,14 +316,17 @@ def build(sets: list[np.ndarray], sizes: list[int], members: list[int], rank: li
     return nodes
 
 
-def tree_links(ids: list[int], sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join classes, found by sending every set through the tree of all."""
+def tree_links(ids: list[int], sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT, labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join classes, found by sending every set through the tree of all;
+    sets of one label are in one class from the start."""
     classes, links = UnionFind(), []
     order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
     rank = [0] * len(ids)
     for turn, i in enumerate(order):
         rank[i] = turn
-    roots, apart = build(sets, sizes, order, rank), len(ids)
+    roots, apart, of_label = build(sets, sizes, order, rank), len(ids), {}
+    for i, label in enumerate(labels or ()):
+        apart -= label != 0 and classes.union(of_label.setdefault(label, i), i)
     for x in order:
         mine, n = sets[x], sizes[x]
         low, high = -(-percent * n // 100), 100 * n // percent
@@ -313,12 +358,12 @@ def tree_links(ids: list[int], sets: list[np.ndarray], sizes: list[int], percent
 
 def _tree_join(percent: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, tuple[np.ndarray, int]] = {}
+        rows: dict[int, tuple[np.ndarray, int, int]] = {}
         for batch in batches:
-            for doc, n, grams in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("grams"), strict=True):
-                rows[doc] = (np.frombuffer(grams.as_py(), "<u8"), n)
+            for doc, n, grams, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "grams", "label")), strict=True):
+                rows[doc] = (np.frombuffer(grams, "<u8"), n, label)
         ids = sorted(rows)
-        links = tree_links(ids, [rows[i][0] for i in ids], [rows[i][1] for i in ids], percent)
+        links = tree_links(ids, *([rows[i][k] for i in ids] for k in (0, 1)), percent, [rows[i][2] for i in ids])
         rows.clear()
         B.release()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
@@ -337,41 +382,89 @@ def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["doc_id", "gram"])
 
 
-def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between representatives of equal sets: enough for the components."""
-    equal = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    buckets = bucket_count(docs, 4 << 20)
-    some = _candidates(texts(docs).mapInArrow(_deal_texts(buckets, size), _DEALT), buckets, percent)
-    some = written(some.join(equal, "doc_id", "left_semi").select("doc_id", "n", "grams"))
-    buckets = bucket_count(some, 4 << 20)
-    held = written(_candidates(some.mapInArrow(_deal_sets(buckets), _DEALT), buckets, percent))
+def suspects(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles): the first document of each set that may link with another."""
+    buckets = bucket_count(docs, 32 << 20)
+    dealt = texts(docs).mapInArrow(_deal_texts(buckets, size, lambda n: int(first_part(n, percent))), _DEALT)
+    told = dealt.groupBy("bucket").applyInArrow(_hinted(_tally), "sid bigint, n bigint").groupBy("sid").agg(F.sum("n").alias("n_shared"))
+    need = F.greatest(F.lit(1), F.ceil(LEAD * F.ceil(F.col("n_shingles") * percent / 100)))
+    first = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
+    return first.join(told, "sid").filter(F.col("n_shared") >= need).select("doc_id", "n_shingles")
 
+
+def _groups(lead: DataFrame) -> DataFrame:
+    """(id, component) of the sets that shared prefix shingles join; a shingle's sets meet in
+    shares first, so that a very common one isn't one task's."""
+    part = lead.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    near = part.groupBy("gram", "share").agg(F.min("doc_id").alias("hub"))
+    far = near.groupBy("gram").agg(F.min("hub").alias("centre"))
+    one = part.join(near, ["gram", "share"]).filter("doc_id != hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    two = near.join(far, "gram").filter("hub != centre").select(F.col("hub").alias("a"), F.col("centre").alias("b"))
+    return connected(one.unionByName(two).distinct())
+
+
+def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between sets, by name: enough for the components."""
+    some = written(suspects(docs, sets, size, percent))
+    weight = some.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weight // FLUSH))
+    dealt = texts(docs).join(broadcastable(some.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_deal_texts(buckets, size), _DEALT)
+    held = written(_candidates(dealt, buckets, percent))
     lead = written(held.select("doc_id", "grams", "lead").mapInArrow(_leads, "doc_id bigint, gram bigint"))
-    hub = lead.groupBy("gram").agg(F.min("doc_id").alias("hub"))
-    group = connected(lead.join(hub, "gram").filter("doc_id != hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
-    placed = held.select("doc_id", "n").join(group, F.col("doc_id") == F.col("id")).select(
+    placed = written(held.select("doc_id", "n").join(_groups(lead), F.col("doc_id") == F.col("id")).select(
         "doc_id", "component", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).alias("class")
+    ))
+    whole = held.select("doc_id", "n", "grams")
+
+    # first every block by itself, with some sets of its group and of the size classes beside
+    group = placed.groupBy("component", "class").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"),
+        *(F.min_by("doc_id", F.xxhash64(F.lit(i), F.col("doc_id"))).alias(f"p{i}") for i in range(PIVOTS)),
+    )
+    cut = lambda: F.pmod(F.xxhash64("doc_id"), F.col("cuts")).alias("cut")
+    own = placed.join(group.select("component", "class", "cuts"), ["component", "class"]).select("doc_id", "component", "class", cut())
+    pivots = group.select(
+        "component", "class", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("doc_id")
+    ).select("component", "doc_id", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
+    guests = pivots.join(group.select("component", "class", "cuts"), ["component", "class"]).select(
+        "doc_id", "component", "class", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")
     )
-    many = placed.groupBy("component", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
-    block = F.struct("component", "class", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).alias("cut"))
-    blocks = written(placed.join(many, ["component", "class"]).select("doc_id", block.alias("block")))
-    holds = lead.join(blocks, "doc_id").select("gram", "block").distinct()
-    left, right = holds.select("gram", F.col("block").alias("x")), holds.select("gram", F.col("block").alias("y"))
-    near = (F.col("x.class") - F.col("y.class")).between(-1, 0) & (F.col("x") <= F.col("y"))
-    units = left.join(right, "gram").filter(near).select("x", "y").distinct()
-    routes = units.select(F.col("x").alias("block"), "x", "y").unionByName(units.filter("x != y").select(F.col("y").alias("block"), "x", "y"))
-    routed = blocks.join(routes, "block").select("doc_id", "x", "y").join(held.select("doc_id", "n", "grams"), "doc_id")
-    return routed.groupBy("x", "y").applyInArrow(_tree_join(percent), "a bigint, b bigint")
+    routed = own.unionByName(guests).distinct().join(whole, "doc_id").withColumn("label", F.lit(0).cast("bigint"))
+    near = written(routed.groupBy("component", "class", "cut").applyInArrow(_tree_join(percent), "a bigint, b bigint"))
+
+    # then the blocks of groups of several, except those that are of one class already
+    several = group.groupBy("component").agg(F.sum("cuts").alias("blocks")).filter("blocks > 1").select("component")
+    rest = placed.join(several, "component").join(connected(near).select(F.col("id").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left")
+    rest = written(rest.withColumn("label", F.coalesce("label", "doc_id")))
+    kin = rest.groupBy("component", "class", "label").agg(F.count(F.lit(1)).alias("n"))
+    kin = kin.withColumn("kind", F.when(F.col("n") >= BLOCK, F.col("label")).otherwise(0))  # 0: all the small ones
+    kinds = kin.groupBy("component", "class", "kind").agg(F.ceil(F.sum("n") / BLOCK).alias("cuts"))
+    told = rest.join(kin.select("component", "class", "label", "kind"), ["component", "class", "label"])
+    at = ["component", "class", "kind"]
+    blocks = written(told.join(kinds, at).select("doc_id", "label", F.struct(*at, cut()).alias("block")))
+    # a class that fills several blocks is one partner; its blocks part again below
+    face = F.struct(*(F.col(f"block.{c}") for c in at), F.when(F.col("block.kind") == 0, F.col("block.cut")).otherwise(-1).alias("cut"))
+    holds = lead.join(blocks, "doc_id").select("gram", face.alias("x")).distinct()
+    fits = (F.col("x.class") - F.col("y.class")).between(-1, 0) & (F.col("x") <= F.col("y")) & ((F.col("x.kind") != F.col("y.kind")) | (F.col("x.kind") == 0))
+    pairs = holds.join(holds.withColumnRenamed("x", "y"), "gram").filter(fits).select("x", "y").distinct()
+    faces = blocks.select(face.alias("face"), "block").distinct()
+    units = pairs.join(faces.select(F.col("face").alias("x"), F.col("block").alias("p")), "x").join(faces.select(F.col("face").alias("y"), F.col("block").alias("q")), "y").select("p", "q")
+    routes = units.select(F.col("p").alias("block"), "p", "q").unionByName(units.filter("p != q").select(F.col("q").alias("block"), "p", "q"))
+    routed = blocks.select("doc_id", "label", "block").join(routes, "block").select("doc_id", "label", "p", "q").join(whole, "doc_id")
+    far = routed.groupBy("p", "q").applyInArrow(_tree_join(percent), "a bigint, b bigint")
+    return near.unionByName(far)
 
 
 def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, one row a row of docs."""
     small_batches(docs.sparkSession)
-    sets = written(texts(docs).mapInArrow(_sketch(size), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, set_key binary"))
+    sets = written(texts(docs).mapInArrow(_sketch(size), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, set_key binary, sid bigint"))
     full = sets.filter("n_shingles > 0 and doc_id is not null")
-    equal = full.groupBy("set_key").agg(F.min("doc_id").alias("first"))
+    equal = full.groupBy("set_key", "sid").agg(F.min("doc_id").alias("first"))
     classes = connected(links(docs, sets, size, percent))
-    by_set = equal.join(classes, F.col("first") == F.col("id"), "left").select("set_key", F.coalesce("component", "first").alias("component_id"))
+    linked = equal.join(classes, F.col("sid") == F.col("id")).select("set_key", "component", "first")
+    named = linked.join(linked.groupBy("component").agg(F.min("first").alias("least")), "component").select("set_key", "least")
+    by_set = equal.join(named, "set_key", "left").select("set_key", F.coalesce("least", "first").alias("component_id"))
     rest = sets.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.join(by_set, "set_key").select("doc_id", "n_shingles", "component_id").unionByName(rest)
 
