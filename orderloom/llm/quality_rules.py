@@ -3,16 +3,26 @@
 One pass measures every text.  The ratios of all texts that pass the base rules
 feed mergeable quantile sketches (KLL), one a language, source and feature:
 partial sketches are built where the rows are and only merged ones move, so a
-source with a third of the rows costs no more than a small one.  Each group's
-fence is its upper quartile plus ``SPREADS`` times the distance from median to
-upper quartile, and at least ``FLOORS`` above the quartile, so a group without
-spread rejects only what stands clearly apart.  A group of fewer than ``LEAST``
-texts takes its language's fence, a language of fewer the corpus's; these come
-from merging the same sketches.  Texts then join their group's fences.
+source with a third of the rows costs no more than a small one.
+
+A group's sketch gives a centre (the median) and a spread to each side (the 0.9 and
+0.1 quantiles' distance from it, in standard deviations of a normal law).  Every
+source has one vote in its language's centre and spread (medians over the sources),
+and every language in the corpus's; a language is drawn towards the corpus as if it
+held two more votes of it.  A group of n texts is drawn towards its language as if
+it held ``SHRINK`` more texts of it, and its centre and spread stay within
+``BOUND`` spreads of the language's, so a source full of junk doesn't set its own
+fence.  Nothing switches by a group's size.
+
+A text fails where a ratio is more than ``SPREADS`` of (spread + noise) above the
+centre; the mean word length also below.  The noise is the ratio's own error in a
+text of that length: a share of c over m units has the error of counting it,
+sqrt((c + u / m) u / m), where u is how many units one event adds at least.
 
 Defined cases: null or empty text has no words and fails the base; a null
-language or source is a group of its own; rows may repeat; an empty table gives
-no rows; only doc_id, text, lang and source are read, other columns may clash.
+language or source is a group of its own; rows may repeat, doc_id may be null; an
+empty table gives no rows; only doc_id, text, lang, source and the columns asked
+for are read, other columns may clash.
 """
 
 from __future__ import annotations
@@ -22,19 +32,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._plan import small_batches, table, written
+from ._plan import broadcastable, small_batches, table, written
 
 #: Fixed values of the contract: symbols, shortest text, window, largest share of repeated words.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 
-#: Feature -> how far above the group's upper quartile a text may always be.
-FLOORS = {"symbols": 0.25, "capitals": 0.25, "marks": 0.25, "dup_lines": 0.5, "repeats": 0.3, "length": 4.0}
-SPREADS, LEAST, SKETCH_K = 6.0, 50, 200
+#: Feature -> what is counted, over what, and how many units one event adds at least
+#: (two windows of a repeat; None: a mean of word lengths, whose error follows from half the mean a word).
+FEATURES = {
+    "symbols": ("n_symbols", "n_words", 1), "capitals": ("n_capitals", "word_chars", 1), "marks": ("n_marks", "n_words", 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 2 * WINDOW), "length": ("word_chars", "n_words", None),
+}
+SPREADS, SHRINK, BOUND, SKETCH_K = 4.0, 50, 3.0, 200
+#: Standard normal quantile of 0.9.
+_NORMAL = 1.2816
 
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
 
@@ -114,49 +130,56 @@ def measured(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema if f.name != "text" or "text" in carry)
     run = functools.partial(_measure, "text" in carry)
     rows = held.mapInArrow(run, ", ".join([kinds, *(f"{m} bigint" for m in _MEASURES)]))
-    share = lambda top, per: F.col(top) / F.greatest(F.col(per), F.lit(1))
     return rows.withColumns({
-        "symbols": share("n_symbols", "n_words"), "capitals": share("n_capitals", "word_chars"), "marks": share("n_marks", "n_words"),
-        "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"), "length": share("word_chars", "n_words"),
+        **{f: F.col(top) / F.greatest(F.col(per), F.lit(1)) for f, (top, per, _) in FEATURES.items()},
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     })
 
 
 def fences(rows: DataFrame) -> DataFrame:
-    """(lang, source, one fence a feature) from KLL sketches merged upwards."""
-    k = F.lit(SKETCH_K)
-    group = written(rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(f), k).alias(f) for f in FLOORS)
+    """(f_lang, f_source, and of each feature a centre, a spread above and one below)."""
+    k, parts = F.lit(SKETCH_K), ("centre", "above", "below")
+    sketch = written(rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(f), k).alias(f) for f in FEATURES)
     ))
-    merged = lambda by: group.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(F.col(f), k).alias(f) for f in FLOORS))
+    q = lambda f, r: F.kll_sketch_get_quantile_double(F.col(f), F.lit(r))
+    own = [F.col("lang"), F.col("source"), F.col("n")]
+    for f in FEATURES:
+        own += [q(f, 0.5).alias(f"centre_{f}"), ((q(f, 0.9) - q(f, 0.5)) / _NORMAL).alias(f"above_{f}"), ((q(f, 0.5) - q(f, 0.1)) / _NORMAL).alias(f"below_{f}")]
+    group = sketch.select(*own)
+    names = [f"{part}_{f}" for f in FEATURES for part in parts]
+    votes = group.groupBy("lang").agg(F.count(F.lit(1)).alias("votes"), *(F.median(c).alias(f"l_{c}") for c in names))
+    corpus = votes.agg(*(F.median(f"l_{c}").alias(f"c_{c}") for c in names))
+    language = votes.join(F.broadcast(corpus)).select(
+        F.col("lang").alias("of_lang"), *(((F.col("votes") * F.col(f"l_{c}") + 2 * F.col(f"c_{c}")) / (F.col("votes") + 2)).alias(f"l_{c}") for c in names)
+    )
+    drawn = lambda c: (F.col("n") * F.col(c) + SHRINK * F.col(f"l_{c}")) / (F.col("n") + SHRINK)
+    out = [F.col("lang").alias("f_lang"), F.col("source").alias("f_source")]
+    for f in FEATURES:
+        centre, above, below = (F.col(f"l_{p}_{f}") for p in parts)
+        out.append(F.greatest(F.least(drawn(f"centre_{f}"), centre + BOUND * above), centre - BOUND * below).alias(f"centre_{f}"))
+        out += [F.least(drawn(f"above_{f}"), BOUND * above).alias(f"above_{f}"), F.least(drawn(f"below_{f}"), BOUND * below).alias(f"below_{f}")]
+    return group.join(language, F.col("lang").eqNullSafe(F.col("of_lang"))).select(*out)
 
-    def bounds(df: DataFrame, prefix: str, by: list[str]) -> DataFrame:
-        q = lambda f, r: F.kll_sketch_get_quantile_double(F.col(f), F.lit(r))
-        return df.select(
-            *by, F.col("n").alias(f"{prefix}n"),
-            *((q(f, 0.75) + F.greatest(F.lit(floor), SPREADS * (q(f, 0.75) - q(f, 0.5)))).alias(f"{prefix}{f}") for f, floor in FLOORS.items()),
-        )
 
-    own = bounds(group, "g_", ["lang", "source"])
-    language = bounds(merged(["lang"]).filter("n > 0"), "l_", [F.col("lang").alias("of_lang")])
-    corpus = bounds(merged([]).filter("n > 0"), "c_", [])
-    joined = own.join(F.broadcast(corpus)).join(language, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
-    return joined.select(
-        F.col("lang").alias("f_lang"), F.col("source").alias("f_source"),
-        *(F.when(F.col("g_n") >= LEAST, F.col(f"g_{f}")).when(F.col("l_n") >= LEAST, F.col(f"l_{f}")).otherwise(F.col(f"c_{f}")).alias(f"fence_{f}") for f in FLOORS),
-    )
+def _within(f: str) -> Column:
+    """The text's ratio is inside of its group's fence."""
+    _, per, unit = FEATURES[f]
+    m, centre = F.greatest(F.col(per), F.lit(1)), F.col(f"centre_{f}")
+    noise = centre / 2 / F.sqrt(m) if unit is None else F.sqrt((centre + unit / m) * unit / m)
+    inside = F.col(f) <= centre + SPREADS * (F.col(f"above_{f}") + noise)
+    return inside & (F.col(f) >= centre - SPREADS * (F.col(f"below_{f}") + noise)) if unit is None else inside
 
 
 def judged(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Every document with its measures, base_failed and kept.  Only groups with a
-    text that passes the base have fences; the others hold nothing to keep."""
-    rows = measured(docs, carry)
-    bound = fences(measured(docs))
+    """Every document with its measures, base_failed and kept.  Texts are measured once,
+    into a table.  Only groups with a text that passes the base have fences; the others
+    hold nothing to keep."""
+    rows = written(measured(docs, carry))
+    bound = written(fences(rows))
     match = F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source"))
-    within = F.lit(True)
-    for f in FLOORS:
-        within = within & (F.col(f) <= F.col(f"fence_{f}"))
-    return rows.join(bound, match, "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
+    within = functools.reduce(lambda x, y: x & y, map(_within, FEATURES))
+    return rows.join(broadcastable(bound), match, "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
