@@ -87,3 +87,25 @@ def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
     assert len(grams(text) & grams(changed)) >= 0.8 * len(grams(text) | grams(changed))
     df = frame(spark, [(1, " ".join(text)), (2, " ".join(changed)), (3, words("v", 50))])
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {1, 3}
+
+
+def test_substring_factors_are_chains_of_their_sources(spark):
+    r = random.Random(9)
+    passages = [words(f"p{k}_", r.randint(55, 160)).split(" ") for k in range(5)]
+    docs = []
+    for d in range(40):
+        w = []
+        for _ in range(r.randint(1, 4)):
+            p = r.choice(passages)
+            a = r.randint(0, 20)
+            w += [*(f"own{d}_{r.random()}" for _ in range(r.randint(0, 30))), *p[a:len(p) - r.randint(0, 20)]]
+        docs.append((d * 3 + 1, " ".join(w)))
+    held = {d: t.split(" ") for d, t in docs}
+    found = substring_dedup.factors(frame(spark, docs)).collect()
+    drop = {d: set() for d in held}
+    for f in found:
+        n = f.windows + substring_dedup.WINDOW - 1
+        assert f.source < f.doc_id and held[f.doc_id][f.start:f.start + n] == held[f.source][f.source_start:f.source_start + n]
+        drop[f.doc_id].update(range(f.start, f.start + n))
+    told = substrings(docs)
+    assert all(len(drop[d]) == told[d][1] for d in held)
