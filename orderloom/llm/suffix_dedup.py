@@ -8,19 +8,22 @@ bytes and all; equal stretches of one task collapse, all their windows are then
 known repeats and one of them stands for all.
 
 A bucket's task keeps an index family.  Stretches come in batches.  A batch gets a
-suffix array: its window starts, ordered by the fingerprint of the ``WIDTH`` bytes
-that follow, which puts suffixes that agree on them side by side (no deeper or
-lexicographic order is needed for a fixed match length).  The new array is
-merge-scanned against every level, which marks matches on both sides; then it
-becomes level 0, and two levels of like size merge into the next, so that a suffix
-is merged a logarithmic number of times.
+suffix array: its window starts in lexicographic order of the ``WIDTH`` bytes that
+follow.  Suffixes are ordered by eight bytes at a time; those still tied go on behind
+their longest common prefix, which a binary search over hashes of the text gives.
+Neighbours whose common prefix is ``WIDTH`` bytes long repeat each other.  The array
+is then merge-scanned against every level: each suffix is located in the level's
+order and compared with the suffix there; matches mark both sides.  Last it joins
+the family: it merges with the smallest level while that is less than twice its
+size, so levels grow geometrically and a suffix is merged a logarithmic number of
+times.  The family lives as long as its bucket's task.
 
 Bytes of marked windows are removed, whichever occurrence comes first.
 
 Defined cases: null or empty text is no bytes; matches never cross rows; rows
 that share a doc_id are separate occurrences of their text and both lose what
-either repeats; a null doc_id takes no part; only doc_id and text are read; an
-empty table gives no rows.
+either repeats; a null doc_id takes no part; only doc_id and text are read, other
+columns may clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,55 +117,111 @@ def _stretches(shared, bits: int, buckets: int):
     return run
 
 
-class Family:
-    """Levels of sorted (fingerprint, suffix) arrays over the windows added so far."""
-
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray] | None] = []
-        self.marked: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, prints: np.ndarray) -> None:
-        """One batch's windows: builds its array, scans the levels, merges equal sizes."""
-        order = np.argsort(prints, kind="stable")
-        keys, suffix = prints[order], order + self.size
-        self.size += len(prints)
-        same = keys[1:] == keys[:-1]
-        marks = np.zeros(len(keys), bool)
-        marks[1:] |= same
-        marks[:-1] |= same
-        for level in self.levels:
-            if level is not None:
-                at = np.searchsorted(level[0], keys)
-                hit = level[0][np.minimum(at, len(level[0]) - 1)] == keys
-                marks |= hit
-                if hit.any():  # every equal suffix of the level repeats too
-                    lo, hi = at[hit], np.searchsorted(level[0], keys[hit], "right")
-                    self.marked.append(level[1][np.unique(ranges(lo, hi - lo))] if len(lo) else level[1][:0])
-        self.marked.append(suffix[marks])
-        # an array keeps one suffix of those that match: the others are marked already
-        keep = np.r_[True, ~same]
-        new = (keys[keep], suffix[keep])
-        i = 0
-        while i < len(self.levels) and self.levels[i] is not None:
-            old = self.levels[i]
-            both = np.concatenate([old[0], new[0]])
-            merge = np.argsort(both, kind="stable")  # two sorted runs: a merge
-            keys = both[merge]
-            keep = np.r_[True, keys[1:] != keys[:-1]]
-            new = (keys[keep], np.concatenate([old[1], new[1]])[merge][keep])
-            self.levels[i] = None
-            i += 1
-        if i == len(self.levels):
-            self.levels.append(None)
-        self.levels[i] = new
-
-    def marks(self) -> np.ndarray:
-        out = np.zeros(self.size, bool)
-        for part in self.marked:
-            out[part] = True
+class Text:
+    """A bucket's bytes, compared by the ``width`` bytes from a place on."""
+
+    def __init__(self, data: np.ndarray, width: int = WIDTH):
+        self.data, self.width, self.rolling = np.concatenate([data, np.zeros(8, np.uint8)]), width, B.Rolling(data)
+
+    def eight(self, at: np.ndarray, depth: np.ndarray | int = 0) -> np.ndarray:
+        """The next eight bytes as numbers in byte order; those beyond the width are 0."""
+        keys = self.data[(at + depth)[:, None] + np.arange(8)].view(">u8")[:, 0].astype(np.uint64)
+        beyond = np.maximum(np.int64(8) - (self.width - depth), 0).astype(np.uint64) * np.uint64(8)
+        return keys >> beyond << beyond
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of two suffixes, ``width`` at most."""
+        prefix, inverse = self.rolling.prefix, self.rolling.inverse
+        out = np.zeros(len(x), np.int64)
+        step = 1 << (self.width.bit_length() - 1)
+        with np.errstate(over="ignore"):
+            while step:
+                a, b = x + out, y + out
+                fits = np.flatnonzero(out + step <= self.width)
+                a, b = a[fits], b[fits]
+                same = (prefix[a + step] - prefix[a]) * inverse[a] == (prefix[b + step] - prefix[b]) * inverse[b]
+                out[fits[same]] += step
+                step >>= 1
         return out
 
+    def suffix_array(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the places in the order of their suffixes, whether each equals the one before)."""
+        keys = self.eight(at)
+        order = np.argsort(keys, kind="stable")
+        at, keys = at[order], keys[order]
+        equal = np.zeros(len(at), bool)
+        tied = np.r_[False, keys[1:] == keys[:-1]]  # with the one before, as far as is known
+        while True:
+            member = tied | np.r_[tied[1:], False]
+            here = np.flatnonzero(member & ~equal)
+            here = here[tied[here] | ~np.r_[equal[1:], False][here]]
+            if not len(here):
+                return at, equal
+            head = np.flatnonzero(~tied[here])
+            group = np.cumsum(~tied[here]) - 1
+            places = at[here]
+            depth = np.minimum.reduceat(self.common(places, places[head][group]), head)
+            done = depth == self.width  # a whole group repeats
+            if done.any():
+                last = here[done[group]]
+                equal[last] = tied[last]
+            part = np.flatnonzero(~done[group])
+            if not len(part):
+                tied[here] = False
+                continue
+            keys = self.eight(places[part], depth[group[part]])
+            order = np.lexsort((keys, group[part]))
+            at[here[part]], keys, of = places[part][order], keys[order], group[part][order]
+            tied[here] = False
+            tied[here[part]] = np.r_[False, (keys[1:] == keys[:-1]) & (of[1:] == of[:-1])]
+
+    def locate(self, level: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which places have an equal suffix in the level, where it is), by binary search from
+        the level's eight-byte keys on."""
+        want = self.eight(at)
+        lo, hi = np.searchsorted(keys, want), np.searchsorted(keys, want, "right")
+        todo, found = np.flatnonzero(lo < hi), np.full(len(at), -1, np.int64)
+        while len(todo):
+            mid = (lo[todo] + hi[todo]) >> 1
+            x, y = at[todo], level[mid]
+            length = self.common(x, y)
+            hit = length == self.width
+            found[todo[hit]] = mid[hit]
+            left = self.data[x + length] < self.data[y + length]
+            hi[todo] = np.where(left, mid, hi[todo])
+            lo[todo] = np.where(left, lo[todo], mid + 1)
+            todo = todo[~hit & (lo[todo] < hi[todo])]
+        which = np.flatnonzero(found >= 0)
+        return which, found[which]
+
+
+class Family:
+    """Levels of suffix arrays over the places of one text added so far, each at least
+    twice as large as the next; ``marked`` tells the places whose suffix repeats."""
+
+    def __init__(self, text: Text):
+        self.text, self.levels = text, []
+        self.marked = np.zeros(len(text.data), bool)
+
+    def add(self, at: np.ndarray) -> None:
+        """One batch: builds its array, scans the levels, merges levels of like size."""
+        at, equal = self.text.suffix_array(at)
+        self.marked[at[equal]] = True
+        self.marked[at[np.flatnonzero(equal) - 1]] = True
+        new = at[~equal]  # one of those that repeat stands for all
+        fresh = np.ones(len(new), bool)
+        for level, keys in self.levels:
+            which, where = self.text.locate(level, keys, new)
+            self.marked[level[where]] = True
+            fresh[which] = False
+        repeats = np.cumsum(~equal) - 1
+        self.marked[at[~fresh[repeats]]] = True
+        new = new[fresh]
+        while self.levels and len(self.levels[-1][0]) < 2 * len(new):
+            new, _ = self.text.suffix_array(np.concatenate([self.levels.pop()[0], new]))  # two sorted runs: the sort merges
+        if len(new):
+            self.levels.append((new, self.text.eight(new)))
+
 
 def _index(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -175,13 +234,12 @@ def _index(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
         yield spans_by_document(doc, start, length)
         return
     cut = np.r_[0, np.cumsum(length + WIDTH - 1)]
-    family, lo = Family(), 0
+    family, lo = Family(Text(data)), 0
     while lo < len(doc):
         hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + BATCH_BYTES, "right")) - 1)
-        prints = B.Rolling(data[cut[lo]:cut[hi]]).every(WIDTH)
-        family.add(prints[ranges(cut[lo:hi] - cut[lo], length[lo:hi])])
+        family.add(ranges(cut[lo:hi], length[lo:hi]))
         lo = hi
-    hit = np.flatnonzero(family.marks() | np.repeat(repeated > 0, length))
+    hit = np.flatnonzero(family.marked[ranges(cut[:-1], length)] | np.repeat(repeated > 0, length))
     of, at = np.repeat(doc, length)[hit], ranges(start, length)[hit]
     begin, count = runs_of(at, of)
     yield spans_by_document(of[begin], at[begin], count)

@@ -1,5 +1,6 @@
 import base64
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,13 +109,22 @@ def test_suffixes(df, docs):
 
 def test_suffix_family_levels():
     r = np.random.default_rng(0)
-    prints = r.integers(0, 3000, 5000).astype(np.uint64)
-    family = suffix_dedup.Family()
-    for part in np.array_split(prints, 13):
-        family.add(part)
-    values, count = np.unique(prints, return_counts=True)
-    assert (family.marks() == np.isin(prints, values[count > 1])).all()
-    assert sum(x is not None for x in family.levels) == bin(13).count("1")
+    for width in (5, 12, 40):
+        base = r.integers(97, 100, 4000).astype(np.uint8)
+        data = np.concatenate([base[a:a + r.integers(width, 400)] for a in r.integers(0, 3000, 25)])
+        text = suffix_dedup.Text(data, width)
+        every = np.arange(len(data) - width + 1)
+        window = [data[i:i + width].tobytes() for i in every]
+        order, equal = text.suffix_array(r.permutation(every))
+        assert [window[i] for i in order] == sorted(window)
+        assert equal.tolist() == [i > 0 and window[order[i]] == window[order[i - 1]] for i in range(len(order))]
+        family = suffix_dedup.Family(text)
+        for part in np.array_split(r.permutation(every), 13):
+            family.add(part)
+        count = Counter(window)
+        assert family.marked[every].tolist() == [count[w] > 1 for w in window]
+        sizes = [len(x[0]) for x in family.levels]
+        assert sum(sizes) == len(count) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
 def test_components(df, docs):
