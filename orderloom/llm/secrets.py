@@ -2,18 +2,27 @@
 
 Layer 0 is the text itself; its matches are the base spans.  A layer is scanned,
 then every way to unwrap it is tried: percent escapes, \\uXXXX and \\xXX escapes,
-base64 (both alphabets) and, inside base64, gzip, zlib, bzip2 and xz.  What comes
-out is a new layer on the worklist unless the document had it before (cycle
-detection by digest), so nesting of any depth ends at a fixpoint.  Each layer
-keeps, for every character, the range of the original text it came from, so a
-match in it becomes a span of the original.  Spans of layers add to the base ones.
+base64 and, inside base64, gzip, zlib, bzip2 and xz.  What comes out is a new layer
+on the worklist unless the document had it before (cycle detection by digest), so
+nesting of any depth ends at a fixpoint.  Each layer keeps, for every character,
+the range of the original text it came from, so a match in it becomes a span of the
+original.  Spans of layers add to the base ones.
+
+A run of base64 is read in both alphabets at once, at each of its four alignments,
+so a word, a path or a prefix glued to its front hides nothing; runs that go on over
+line ends are read joined as well.  Compressed streams are looked for by their first
+bytes anywhere in what base64 gives and are decompressed through all members to
+their end, again until nothing unwraps.  A decoded layer counts if it holds
+``MIN_PLAIN`` printable ASCII characters in a row, without which it can hold neither
+a match nor a wrapping.
 
 Documents that hold none of the bytes a match or a wrapping needs are told apart
 for a whole batch at once and never reach a regular expression.
 
-Defined cases: null text is empty; texts are scanned whole; rows may repeat; an
-empty table gives no rows.  Streams are decompressed through all members to their
-end; a layer is held whole, so nothing guards a worker's memory from a bomb.
+Defined cases: null text is empty; texts are scanned whole; rows may repeat and
+doc_id may be null; only doc_id and text are read, other columns may clash; an empty
+table gives no rows.  A layer is held whole, so nothing guards a worker's memory
+from a decompression bomb.
 """
 
 from __future__ import annotations
@@ -45,9 +54,14 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 ESCAPED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A run that mixes the alphabets is read as a whole and in the parts of each.
-PARTS = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+BREAKS = re.compile(r"[\r\n\x20\t=]+")
 MIN_WRAPPED = 16
+#: First bytes of gzip, zlib, bzip2 and xz.
+MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00")
+#: The shortest match, and the shortest wrapping that can hold one, are as long.
+MIN_PLAIN = 12
+PLAIN = re.compile(rb"[\x20-\x7e]{%d}" % MIN_PLAIN)
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -124,7 +138,7 @@ def _codec(data: bytes):
     """What makes a decompressor for data that begin like a compressed stream."""
     if data[:2] == b"\x1f\x8b":
         return lambda: zlib.decompressobj(31)
-    if data[:1] == b"\x78" and len(data) > 6 and (data[0] * 256 + data[1]) % 31 == 0:
+    if data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
         return zlib.decompressobj
     if data[:3] == b"BZh":
         return bz2.BZ2Decompressor
@@ -133,39 +147,51 @@ def _codec(data: bytes):
     return None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """All members decompressed, if the data begin like a compressed stream; of a damaged one what comes before."""
-    out = []
-    while (make := _codec(data)) is not None:
-        stream, rest = make(), b""
+def _inflate(data: bytes) -> tuple[bytes, int]:
+    """All members decompressed of data that begin like a compressed stream, and how many bytes
+    they took; of a damaged one what comes before."""
+    out, used = [], 0
+    while (make := _codec(data[used:used + 8])) is not None:
+        stream = make()
         try:
-            for at in range(0, len(data), 1 << 12):
+            for at in range(used, len(data), 1 << 12):
                 out.append(stream.decompress(data[at:at + (1 << 12)]))
                 if stream.eof:
-                    rest = stream.unused_data + data[at + (1 << 12):]
+                    used = min(at + (1 << 12), len(data)) - len(stream.unused_data)
                     break
+            else:
+                return b"".join(out), len(data)
         except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-            pass
-        data = rest
-    return b"".join(out) or None
+            return b"".join(out), max(used, 1)
+    return b"".join(out), max(used, 1)
 
 
 def _unpacked(data: bytes) -> Iterator[bytes]:
-    """What nested compressed streams hold, until nothing unwraps."""
-    seen = set()
-    while (data := _inflate(data)) is not None and (digest := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
-        seen.add(digest)
-        yield data
-
-
-def _readable(data: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8 and nearly all of it can be printed."""
+    """What the compressed streams in the data hold, and those in them, until nothing unwraps."""
+    seen, todo = set(), [data]
+    while todo:
+        data, at = todo.pop(), 0
+        while (m := MAGIC.search(data, at)) is not None:
+            out, used = _inflate(data[m.start():])
+            at = m.start() + used
+            if out and (digest := hashlib.blake2b(out, digest_size=16).digest()) not in seen:
+                seen.add(digest)
+                todo.append(out)
+                yield out
+
+
+def _readable(data: bytes) -> tuple[str, np.ndarray] | None:
+    """The bytes as text and the bytes of each character, if it can hold anything."""
+    if PLAIN.search(data) is None:
+        return None
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return None
-    plain = sum(c.isprintable() or c in "\n\r\t" for c in text)
-    return text if text and plain >= 0.9 * len(text) else None
+        return data.decode("latin-1"), np.ones(len(data), np.int64)
+    if len(text) == len(data):
+        return text, np.ones(len(data), np.int64)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return text, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000).astype(np.int64)
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
@@ -174,29 +200,39 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
         yield below
     if "\\" in layer.text and (below := _replaced(layer, ESCAPE, _escapes)):
         yield below
-    for start, stop in _runs(layer.text):
-        body = layer.text[start:stop].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-        for text in filter(None, map(_readable, _unpacked(data))):  # a compressed stream's characters come from all of it
-            a, b = layer.origin(start, stop)
-            yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)))
-        text = _readable(data)
-        if text is None:
-            continue
-        sizes = np.array([len(c.encode()) for c in text])
-        end = np.cumsum(sizes)
-        first, last = start + (end - sizes) * 4 // 3, start + np.minimum((end - 1) * 4 // 3 + 1, len(body) - 1)
-        yield Layer(text, layer.low[first], layer.high[last])
-
-
-def _runs(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of what may be base64: whole runs, then the parts of a mixed run in one alphabet."""
+    for whole, places in _runs(layer.text):
+        for shift in range(4):
+            body, held = whole[shift:], places[shift:]
+            if len(body) % 4 == 1:
+                body = body[:-1]
+            if len(body) < MIN_WRAPPED:
+                break
+            data = base64.b64decode(body + "=" * (-len(body) % 4))
+            for text, _ in filter(None, map(_readable, _unpacked(data))):  # a compressed stream's characters come from all of it
+                a, b = layer.origin(int(places[0]), int(places[-1]) + 1)
+                yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)))
+            plain = _readable(data)
+            if plain is None:
+                continue
+            text, sizes = plain
+            end = np.cumsum(sizes)
+            first, last = held[(end - sizes) * 4 // 3], held[np.minimum((end - 1) * 4 // 3 + 1, len(body) - 1)]
+            yield Layer(text, layer.low[first], layer.high[last])
+
+
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """What may be base64, in the standard alphabet, and the place of each of its characters."""
+    standard = lambda run: run.replace("-", "+").replace("_", "/")
     for m in BASE64.finditer(text):
-        yield m.span()
-        if not {"+", "/", "-", "_"}.isdisjoint(m.group()):
-            yield from sorted({p.span() for part in PARTS for p in part.finditer(text, *m.span())} - {m.span()})
+        body = m.group().rstrip("=")
+        yield standard(body), np.arange(m.start(), m.start() + len(body))
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            cuts = [x.span() for x in BREAKS.finditer(m.group())]
+            keep = np.ones(len(m.group()), bool)
+            for a, b in cuts:
+                keep[a:b] = False
+            yield standard(BREAKS.sub("", m.group())), m.start() + np.flatnonzero(keep)
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

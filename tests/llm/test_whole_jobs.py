@@ -109,3 +109,31 @@ def test_substring_factors_are_chains_of_their_sources(spark):
         drop[f.doc_id].update(range(f.start, f.start + n))
     told = substrings(docs)
     assert all(len(drop[d]) == told[d][1] for d in held)
+
+
+def test_secrets_behind_glued_prefixes_and_over_lines():
+    inner = b'first line, then secret: "hunter2hunter2" and the rest of a longer text that goes on'
+    for encode in (base64.b64encode, base64.urlsafe_b64encode):
+        for pack in (bytes, zlib.compress, gzip.compress, lzma.compress):
+            run = encode(pack(inner)).decode()
+            for prefix in ("", "https://h.example/a/", "x/ab/", "x/abc/", "x-", "id_", "q", "zz"):
+                base, every = secrets.find(f"see {prefix}{run} end")
+                assert any(k == 0 for _, k, _ in set(every) - set(base)), (encode, pack, prefix)
+            lines = "\n".join(run[i:i + 40] for i in range(0, len(run), 40))
+            assert any(k == 0 for _, k, _ in secrets.find(f"see {lines} end")[1]), (encode, pack)
+
+
+def test_secrets_beside_bytes_that_are_no_text():
+    assert _assigned(bytes(range(128, 256)) + b" secret: hunter2hunter2" + bytes(range(128, 256)))
+
+
+def test_secret_spans_map_back():
+    inner = "é plain words and token=abcdef0123 behind"
+    run = base64.b64encode(inner.encode()).decode()
+    text = f"漢 x/{run[:20]}\n  {run[20:]} end"
+    base, every = secrets.find(text)
+    assert base == [] and len(every) == 1
+    a, _, b = every[0]
+    at = len(inner[:inner.index("token")].encode())
+    assert text[:a].replace("\n  ", "") == f"漢 x/{run[:at * 4 // 3]}"
+    assert text[a:b].startswith(run[at * 4 // 3:][:4])
