@@ -77,11 +77,13 @@ def _all(families: Iterable[set[Bundle]]) -> set[Bundle]:
 
 
 def _route(kind: str, families: list[set[Bundle]]) -> set[Bundle]:
-    if kind == "AND":
+    if kind in ("AND", "SEQ"):  # a sequence router with several arcs takes them all
         return _all(families)
     if kind == "OR":
         return set().union(*(_all(some) for n in range(1, len(families) + 1) for some in itertools.combinations(families, n)))
-    return set().union(*families) or {frozenset()}
+    if kind == "XOR":
+        return set().union(*families) or {frozenset()}
+    raise ValueError(f"unknown router {kind!r}")
 
 
 def _type(path: tuple) -> str | None:

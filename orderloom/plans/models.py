@@ -39,8 +39,7 @@ def enumerate_posets(s, d):
 
 @query("feasible_box", "SELECT i, n, i + n AS s FROM (SELECT unnest([1, 2, 3])::INT AS i), (SELECT unnest([0, 1, 2])::INT AS n) WHERE i + n <= 4 AND i >= n")
 def feasible_box(s, d):
-    cs = [*K.interval("i", 1, 3), *K.interval("n", 0, 2), K.at_most("s", 4), K.partition("s", ["i", "n"]), K.constraint({"i": 1, "n": -1}, ">=", 0)]
-    return K.solution_table(s, cs, bound=8)
+    return K.solution_table(s, K.linear("1 <= i <= 3", "0 <= n <= 2", "s <= 4", "s == i + n", "i >= n"), bound=8)
 
 
 @query("trace_bhattacharyya", f"""WITH {PERMS}, md AS (SELECT group_id % 3 AS model_id, "order", count(*) AS w FROM gm GROUP BY ALL),
