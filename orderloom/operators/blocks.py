@@ -73,6 +73,18 @@ def matrix_distance(model: DataFrame, depth: int = 1, mode: str = "sink", normal
     return out
 
 
+def refined_distance(model: DataFrame, normalize: bool = False, mode: str = "sink", **options) -> DataFrame:
+    """(m1, m2, d) as ``matrix_distance``, with the blocks of (model_id, order, weight) fanned
+    out; ``options`` are those of ``posets.refined_steps``."""
+    from ..functions.poset_columns import refined_matrix
+
+    rows = refined_matrix(model, **options)
+    space = state_space(rows)
+    out = row_angles(closed(rows, space, mode)).groupBy("m1", "m2").agg((2 * F.sqrt(F.sum(F.col("angle") * F.col("angle")))).alias("d"))
+    size = F.broadcast(space.agg(F.count(F.lit(1)).alias("_x")))
+    return out.join(size).withColumn("d", F.col("d") / F.sqrt("_x")).drop("_x") if normalize else out
+
+
 def law_angle(laws: DataFrame, key: str) -> DataFrame:
     """(m1, m2, angle): 2 acos of the Bhattacharyya coefficient of laws (model_id, key, p)."""
     a = laws.select(F.col("model_id").alias("m1"), key, F.col("p").alias("p1"))

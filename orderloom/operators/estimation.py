@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+import random
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, fields
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import poset_columns as PC
+from ..functions import posets as P
 from ..functions import relations as R
-
+from ..functions.posets import Order
 
 
 def _ln(p: Column) -> Column:
@@ -57,6 +61,16 @@ def counting_weights(table: DataFrame, law: DataFrame, strict: bool = True) -> D
     return split.groupBy("order").agg(F.sum("part").alias("_w")).join(F.broadcast(whole)).select("order", (F.col("_w") / F.col("_t")).alias("rho"))
 
 
+def counting_limit(law: DataFrame, rho: DataFrame) -> DataFrame:
+    """(order, rho): where the counting weights go when the log grows under the weights ``rho``."""
+    return counting_weights(mixture(law, rho).select("chain", F.col("p").alias("cnt")), law, strict=False)
+
+
+def reweighted(variants: DataFrame, rho: DataFrame) -> DataFrame:
+    """The variants (variant_id, order, ...) with new weights (variant_id, rho)."""
+    return variants.drop("weight").join(rho.select("variant_id", F.col("rho").alias("weight")), "variant_id")
+
+
 def em_step(table: DataFrame, law: DataFrame, rho: DataFrame) -> DataFrame:
     """One EM update of the weights with known laws."""
     total = table.groupBy("chain").agg(F.sum("cnt").alias("cnt"))
@@ -131,7 +145,17 @@ def log_mixture(logf: DataFrame, weights: DataFrame) -> DataFrame:
 
 def price(logf: DataFrame, logd: DataFrame) -> DataFrame:
     """(atom_id, score): mean over groups of exp(logf - logd); gap is the best minus one."""
-    return logf.join(F.broadcast(logd), "group_id").groupBy("atom_id").agg(F.avg(F.exp(F.col("logf") - F.col("logd"))).alias("score"))
+    return logf.join(logd, "group_id").groupBy("atom_id").agg(F.avg(F.exp(F.col("logf") - F.col("logd"))).alias("score"))
+
+
+def priced(logf: DataFrame, weights: DataFrame) -> DataFrame:
+    """The same scores straight from the weights of the active atoms.  With ``logf`` dealt by
+    group_id nothing moves but one row an atom and task."""
+    group = Window.partitionBy("group_id")
+    rows = logf.join(F.broadcast(weights.filter("w > 0")), "atom_id", "left").withColumn("x", F.ln("w") + F.col("logf"))
+    rows = rows.withColumn("top", F.max("x").over(group))
+    rows = rows.withColumn("logd", F.col("top") + F.ln(F.sum(F.exp(F.col("x") - F.col("top"))).over(group)))
+    return rows.groupBy("atom_id").agg(F.avg(F.exp(F.col("logf") - F.col("logd"))).alias("score"))
 
 
 def corrected(logf: np.ndarray, w: np.ndarray, iters: int = 3000, tol: float = 1e-13) -> np.ndarray:
@@ -150,39 +174,91 @@ def corrected(logf: np.ndarray, w: np.ndarray, iters: int = 3000, tol: float = 1
     return w
 
 
-def fit_mixture(logf: DataFrame, gap_tol: float = 1e-4, max_iters: int = 60, floor: float = 1e-8) -> tuple[dict[int, float], float, list[float]]:
+def _column(logf: DataFrame, atom: int) -> dict:
+    return dict(logf.filter(F.col("atom_id") == atom).select("group_id", "logf").toPandas().itertuples(index=False))
+
+
+def fit_mixture(logf: DataFrame, gap_tol: float = 1e-4, max_iters: int = 60, floor: float = 1e-8, first: int | None = None) -> tuple[dict[int, float], float, list[float]]:
     """Column generation: (weights by atom, certified gap, log-likelihoods).
 
-    Pricing runs distributed over all atoms and groups; only the active atoms' rows,
-    one number a group each, come to the driver.
+    Pricing runs distributed over all atoms and groups, which are dealt by group once.  One
+    number a group comes to the driver when an atom becomes active.  ``first`` is the atom to
+    begin with; the optimum does not depend on it.  An active atom that prices best again
+    means that the weights had not converged: they are tightened and priced once more.
     """
     spark = logf.sparkSession
-    logf = logf.persist()
+    logf = logf.repartition("group_id").persist()
     try:
-        best = logf.groupBy("atom_id").agg(F.sum("logf").alias("s")).orderBy(F.desc("s"), "atom_id").first().atom_id
-        active, w, gap, path = [best], np.ones(1), math.inf, []
+        if first is None:
+            first = logf.groupBy("atom_id").agg(F.sum("logf").alias("s")).orderBy(F.desc("s"), "atom_id").first().atom_id
+        columns = {first: _column(logf, first)}
+        groups = list(columns[first])
+        w, path = {first: 1.0}, []
         for _ in range(max_iters):
-            rows = logf.filter(F.col("atom_id").isin(active)).collect()
-            groups = {g: i for i, g in enumerate(sorted({r.group_id for r in rows}))}
-            f = np.full((len(active), len(groups)), -np.inf)
-            for r in rows:
-                f[active.index(r.atom_id), groups[r.group_id]] = r.logf
-            w = corrected(f, w)
+            f = np.array([[columns[a][g] for g in groups] for a in w])
+            weight = corrected(f, np.array(list(w.values())))
+            best, score = _best(spark, logf, w, weight)
+            if best in w and score - 1 > gap_tol:
+                weight = tightened(f, weight, gap_tol)
+                best, score = _best(spark, logf, w, weight)
             top = f.max(axis=0)
-            path.append(float((np.log(w @ np.exp(f - top)) + top).sum()))
-            logd = log_mixture(logf, spark.createDataFrame(list(zip(active, w.tolist(), strict=True)), "atom_id int, w double"))
-            found = price(logf, logd).orderBy(F.desc("score"), "atom_id").first()
-            gap = found.score - 1
-            if gap <= gap_tol or found.atom_id in active:
+            path.append(float((np.log(weight @ np.exp(f - top)) + top).sum()))
+            w = dict(zip(w, weight.tolist(), strict=True))
+            if score - 1 <= gap_tol or best in w:
                 break
-            keep = w > floor
-            active = [a for a, k in zip(active, keep, strict=True) if k] + [found.atom_id]
-            w = np.append(w[keep] * (1 - 1e-3) / w[keep].sum(), 1e-3)
-        return dict(zip(active, w.tolist(), strict=True)), float(gap), path
+            kept = {a: x for a, x in w.items() if x > floor}
+            total = sum(kept.values())
+            w = {a: x * (1 - 1e-3) / total for a, x in kept.items()} | {best: 1e-3}
+            columns = {a: columns[a] if a in columns else _column(logf, a) for a in w}
+        return w, float(score - 1), path
     finally:
         logf.unpersist()
 
 
+def _best(spark: SparkSession, logf: DataFrame, active: dict, weight: np.ndarray) -> tuple[int, float]:
+    rows = spark.createDataFrame(list(zip(active, weight.tolist(), strict=True)), "atom_id int, w double")
+    found = priced(logf, rows).orderBy(F.desc("score"), "atom_id").first()
+    return found.atom_id, found.score
+
+
+def tightened(f: np.ndarray, w: np.ndarray, gap_tol: float, rounds: int = 20) -> np.ndarray:
+    """Further updates until no active atom's score exceeds one by a tenth of the tolerance."""
+    top = f.max(axis=0)
+    g = np.exp(f - top)
+    for _ in range(rounds):
+        w = corrected(f, w)
+        if float((g / (w @ g)).mean(axis=1).max()) - 1 <= 0.1 * gap_tol:
+            break
+    return w
+
+
+def moment_start(logf: DataFrame, atom: DataFrame, ranking: DataFrame) -> int:
+    """The best fitting atom of the order whose pair moments are nearest to the data's."""
+    nearest = F.broadcast(ranking.orderBy("dist", "order").limit(1).select("order"))
+    ids = atom.join(nearest, "order").select("atom_id")
+    return logf.join(F.broadcast(ids), "atom_id").groupBy("atom_id").agg(F.sum("logf").alias("s")).orderBy(F.desc("s"), "atom_id").first().atom_id
+
+
+def refitted(table: DataFrame, leftovers: DataFrame, atom: DataFrame, weights: dict[int, float], m: int) -> tuple[dict[int, float], float, float]:
+    """(weights, log-likelihood, gap of the fixed support) over groups and leftover groups, each
+    (group_id, chain, cnt), with the atoms' densities of the first stage: the marginal comes
+    from ``table`` alone, a trace that only leftovers have weighs nothing in it.  A group
+    that no atom explains is an error."""
+    rows = table.unionByName(leftovers)
+    pbar = rows.select("chain").distinct().join(pooled(table), "chain", "left").select("chain", F.coalesce("pbar", F.lit(0.0)).alias("pbar"))
+    logf = group_loglik(rows, pbar, atom.filter(F.col("atom_id").isin(list(weights))), m)
+    columns = {a: _column(logf, a) for a in weights}
+    groups = list(next(iter(columns.values())))
+    f = np.array([[columns[a][g] for g in groups] for a in weights])
+    if lost := [g for g, x in zip(groups, f.max(axis=0)) if x == -np.inf]:
+        raise ValueError(f"no atom explains groups {sorted(lost)[:5]}")
+    w = corrected(f, np.array(list(weights.values())))
+    top = f.max(axis=0)
+    g = np.exp(f - top)
+    d = w @ g
+    return dict(zip(weights, w.tolist(), strict=True)), float((np.log(d) + top).sum()), float((g / d).mean(axis=1).max() - 1)
+
+
 def bootstrap(logf: np.ndarray, w: np.ndarray, rounds: int = 200, seed: int = 0) -> np.ndarray:
     """Weights refitted to resampled groups, support fixed (rounds x K)."""
     r = np.random.default_rng(seed)
@@ -360,3 +436,100 @@ def polished(cnt: np.ndarray, inside: np.ndarray, e: np.ndarray, pbar: np.ndarra
             w = new
         path.append(total(f, w))
     return w, eps, eta, path
+
+
+# --- classes of orders and candidates ---------------------------------------------------------
+
+@dataclass(frozen=True)
+class OrderClass:
+    """A declared search space.  The meets of observed chains hold an optimum only if the class
+    has every order and all meets of its members."""
+
+    name: str
+    all_orders: bool
+    meet_closed: bool
+    holds: Callable[[Order], bool]
+    extensions: Callable[[Order], int]
+    members: Callable[[Sequence[str]], Iterable[Order]]
+    sample: Callable[[Order, random.Random], tuple[str, ...]]
+
+
+def _sample(order: Order, rng: random.Random) -> tuple[str, ...]:
+    return tuple(order.labels[e] for e in P.sample_extension(order, rng))
+
+
+GENERAL = OrderClass("general", True, True, lambda o: True, P.extensions, lambda labels: P.enumerate_orders(tuple(sorted(labels))), _sample)
+SERIES_PARALLEL = OrderClass(
+    "sp", False, False, lambda o: P.series_parallel(o) is not None, lambda o: P.tree_extensions(P.decompose(o)),
+    lambda labels: P.enumerate_series_parallel(tuple(sorted(labels))), lambda o, rng: P.sample_tree_extension(P.decompose(o), rng),
+)
+
+
+def order_class(spec: str | OrderClass) -> OrderClass:
+    known = {c.name: c for c in (GENERAL, SERIES_PARALLEL)}
+    if isinstance(spec, str):
+        if spec not in known:
+            raise ValueError(f"unknown class {spec!r}; there are {sorted(known)}")
+        return known[spec]
+    if lacking := [f.name for f in fields(OrderClass) if not hasattr(spec, f.name)]:
+        raise TypeError(f"a class of orders needs {lacking}")
+    return spec
+
+
+def to_mask(order: Order, alphabet: Sequence[str]) -> int:
+    place = {x: i for i, x in enumerate(alphabet)}
+    return sum(R.bit(place[order.labels[u]], place[order.labels[v]]) for u, v in order.pairs())
+
+
+def candidates(spark: SparkSession, log: DataFrame, alphabet: Sequence[str], spec: str | OrderClass = "general", timed: bool = False, exact_up_to: int = 4, cap: int = 200_000, heuristic: bool = False) -> tuple[DataFrame, str]:
+    """(orders, how they were chosen) for a log (group_id, chain): all members of the class on
+    few labels, else the closure of the chains under meets where the class allows it, else the
+    chains, the meets of the groups and the empty order."""
+    cls = order_class(spec)
+    chains = log.select(F.col("chain").alias("order")).distinct()
+    empty = spark.createDataFrame([(0,)], "order bigint")
+    if not heuristic and len(alphabet) <= exact_up_to:
+        return spark.createDataFrame([(to_mask(o, alphabet),) for o in cls.members(alphabet)], "order bigint"), "enumeration"
+    if not heuristic and cls.all_orders and cls.meet_closed and not timed:
+        found, cut = R.meet_closure(chains, cap)
+        return found.select("order").unionByName(empty).distinct(), "heuristic" if cut else "meet closure"
+    groups = log.groupBy("group_id").agg(F.bit_and("chain").alias("order")).select("order")
+    found = chains.unionByName(groups).unionByName(empty).distinct()
+    if not cls.all_orders:
+        held = F.udf(lambda x: cls.holds(PC._read(x)), "boolean", useArrow=True)
+        found = found.filter(held(PC.from_mask(F.col("order"), alphabet)))
+    return found, "heuristic"
+
+
+# --- reports -----------------------------------------------------------------------------------
+
+def fit_text(rows: Sequence[tuple[str, float, float, float]], loglik: float, gap: float, kind: str, tol: float = 1e-4, least: float = 1e-6) -> str:
+    """A fit (name, weight, eps, eta) as text, heaviest first."""
+    shown = sorted((r for r in rows if r[1] > least), key=lambda r: (-r[1], r[0]))
+    lines = [f"{len(shown)} atoms, log-likelihood {loglik:.3f}, gap {gap:.2e} ({kind})"]
+    lines += ["  not converged: the gap is over the tolerance"] if gap > tol else []
+    return "\n".join([*lines, *(f"  {w:.4f}  {name}  eps {a:.3f} eta {b:.3f}" for name, w, a, b in shown)])
+
+
+def marginal_text(marginal: DataFrame, alphabet: Sequence[str], least: float = 1e-3) -> str:
+    """The order marginal (order, w, eps, eta) as text; model-sized."""
+    rows = marginal.filter(F.col("w") >= least).withColumn("name", PC.describe(PC.from_mask(F.col("order"), alphabet))).orderBy(F.desc("w"), "name").collect()
+    return "\n".join(f"{r.w:.4f}  {r.name}  mean eps {r.eps:.3f}, mean eta {r.eta:.3f}" for r in rows)
+
+
+def against_chains(loglik: float, trivial: float, groups: int) -> str:
+    """A fit against the mixture of the observed chains."""
+    more = loglik - trivial
+    verdict = "grouping told something" if more > 0 else "grouping told nothing: the chains do as well"
+    return f"log-likelihood {loglik:.2f}, chains {trivial:.2f}: {more:+.2f}, {more / groups:+.3f} a group; {verdict}"
+
+
+def recovery(marginal: DataFrame, truth: DataFrame, least: float = 0.01) -> DataFrame:
+    """(order, true_w, w, off): true orders with the weight that the fit gave them, and fitted
+    orders of some weight that are not true with the fewest pairs by which they are off."""
+    fitted = marginal.select("order", "w")
+    hit = truth.select("order", F.col("w").alias("true_w")).join(fitted, "order", "left").select("order", "true_w", "w", F.when(F.col("w").isNotNull(), 0).alias("off"))
+    spare = fitted.filter(F.col("w") >= least).join(truth.select("order"), "order", "left_anti")
+    near = spare.crossJoin(F.broadcast(truth.select(F.col("order").alias("t"))))
+    off = near.groupBy("order", "w").agg(F.min(F.bit_count(F.col("order").bitwiseXOR(F.col("t")))).alias("off"))
+    return hit.unionByName(off.select("order", F.lit(None).cast("double").alias("true_w"), "w", "off"))

@@ -73,6 +73,27 @@ def timed_log(spark: SparkSession, model: Sequence[tuple[Order, float, float]],
     return spark.range(groups).mapInPandas(run, "group_id bigint, trace_no int, component int, trace array<string>, gaps array<double>")
 
 
+def keyed_log(spark: SparkSession, model: Sequence[tuple[Order, float]], blocks: int, traces: int | tuple[int, int], defect: float, seed: int = 0, eps: float = 0.0) -> DataFrame:
+    """(key, trace): blocks without case ids.  A block has a main component, from which each
+    trace defects with probability ``defect``; ``traces`` is how many a block has, or a range."""
+    model = list(model)
+    weights = [w for _, w in model]
+    low, high = (traces, traces) if isinstance(traces, int) else traces
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for b in pdf.id:
+                r = random.Random(f"{seed}/{b}")
+                own = _pick(r, weights)
+                for _ in range(r.randint(low, high)):
+                    order = model[_pick(r, weights) if r.random() < defect else own][0]
+                    out.append((f"block{b:03d}", _swapped(r, [order.labels[e] for e in sample_extension(order, r)], eps)))
+            yield pd.DataFrame(out, columns=["key", "trace"])
+
+    return spark.range(blocks).mapInPandas(run, "key string, trace array<string>")
+
+
 def repeats(spark: SparkSession, q: float, n: int, seed: int = 0) -> DataFrame:
     """(id, k): geometric repeat counts by inversion."""
     u = F.greatest(F.rand(seed), F.lit(1e-300))
