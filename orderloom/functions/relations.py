@@ -121,14 +121,16 @@ def meet_closure(orders: DataFrame, cap: int = 200_000) -> tuple[DataFrame, bool
 
     Sets are distinct orders on at most eight labels: model-sized, whatever the log.
     """
-    base = orders.select("order").distinct().checkpoint()
+    from ..operators.settle import settled
+
+    base = settled(orders.select("order").distinct())
     known, fresh = base, base
     while True:
         new = fresh.join(base.withColumnRenamed("order", "other"), F.expr("`order` != other")).select(meet(F.col("order"), F.col("other")).alias("order")).distinct()
-        fresh = new.join(known, "order", "left_anti").checkpoint()
+        fresh = settled(new.join(known, "order", "left_anti"))
         n = fresh.count()
         if not n:
             return known, False
-        known = known.unionByName(fresh).checkpoint()
+        known = settled(known.unionByName(fresh))
         if known.count() > cap:
             return known.orderBy(size(F.col("order")), "order").limit(cap), True

@@ -27,73 +27,85 @@ def licences(rel: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(rel: DataFrame, arcs: DataFrame, side: str) -> DataFrame:
-    """(eid, activity, other, otype, oid): per event and object the nearest earlier
+def neighbours(rel: DataFrame, arcs: DataFrame, side: str, *keys: str) -> DataFrame:
+    """(keys, eid, activity, other, otype, oid): per event and object the nearest earlier
     (``in``) or later (``out``) event whose activity has an arc with this one, else the
     type's START_ or END_ node if it has; else no row.
 
     An as-of join as a window: each event offers itself to every activity an arc links
     it to, and the last offer before an event of that activity is its neighbour.
     """
-    log = rel.select("eid", "activity", "ts", "oid", "otype")
     own, far = ("tgt", "src") if side == "in" else ("src", "tgt")
-    offers = log.join(F.broadcast(arcs), (log.activity == arcs[far]) & (log.otype == arcs.otype)).select(
-        log.oid, log.otype, "ts", "eid", F.col(own).alias("seeks"), F.col("activity").alias("other"), F.lit(1).alias("offer")
-    )
-    asks = log.select("oid", "otype", "ts", "eid", F.col("activity").alias("seeks"), F.lit(None).cast("string").alias("other"), F.lit(0).alias("offer"))
-    keys = ["ts", "eid"] if side == "in" else [F.desc("ts"), F.desc("eid")]
-    w = Window.partitionBy("oid", "otype", "seeks").orderBy(*keys, "offer").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    log = rel.select(*keys, "eid", "activity", "ts", "oid", "otype")
+    links = F.broadcast(arcs.select(*keys, "otype", F.col(far).alias("activity"), F.col(own).alias("seeks")))
+    offers = log.join(links, [*keys, "otype", "activity"]).select(*keys, "oid", "otype", "ts", "eid", "seeks", F.col("activity").alias("other"), F.lit(1).alias("offer"))
+    asks = log.select(*keys, "oid", "otype", "ts", "eid", F.col("activity").alias("seeks"), F.lit(None).cast("string").alias("other"), F.lit(0).alias("offer"))
+    order = ["ts", "eid"] if side == "in" else [F.desc("ts"), F.desc("eid")]
+    w = Window.partitionBy(*keys, "oid", "otype", "seeks").orderBy(*order, "offer").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = offers.unionByName(asks).withColumn("other", F.last("other", ignorenulls=True).over(w)).filter("offer = 0")
     node = F.concat(F.lit("START_" if side == "in" else "END_"), F.col("otype"))
-    bounds = arcs.filter(F.col(far) == node).select(F.col(own).alias("seeks"), "otype", F.col(far).alias("bound"))
-    return found.join(F.broadcast(bounds), ["seeks", "otype"], "left").select(
-        "eid", F.col("seeks").alias("activity"), F.coalesce("other", "bound").alias("other"), "otype", "oid"
+    bounds = arcs.filter(F.col(far) == node).select(*keys, F.col(own).alias("seeks"), "otype", F.col(far).alias("bound"))
+    return found.join(F.broadcast(bounds), [*keys, "seeks", "otype"], "left").select(
+        *keys, "eid", F.col("seeks").alias("activity"), F.coalesce("other", "bound").alias("other"), "otype", "oid"
     ).filter("other is not null")
 
 
-def marker_groups(near: DataFrame) -> DataFrame:
-    """(activity, structure, n, cards): per activity the distinct sets of (other, type)
+def marker_groups(near: DataFrame, *keys: str) -> DataFrame:
+    """(keys, activity, structure, n, cards): per activity the distinct sets of (other, type)
     of its events, how often each occurs, and each marker's least and greatest count.
 
     Markers of one type share a key (its objects are dealt between them), so the
     structure is the sorted set of ``type:other`` and needs no key numbers.
     """
-    marker = near.groupBy("eid", "activity", "other", "otype").agg(F.count_distinct("oid").alias("c"))
-    event = marker.groupBy("eid", "activity").agg(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "otype", "other").alias("m"), "c"))).alias("x"))
-    event = event.select("activity", F.transform("x", lambda e: e["m"]).alias("structure"), F.explode("x").alias("x"), F.lit(1).alias("one"))
-    card = event.groupBy("activity", "structure", "x.m").agg(F.min("x.c").alias("lo"), F.max("x.c").alias("hi"), F.sum("one").alias("n"))
-    return card.groupBy("activity", "structure").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("m", "lo", "hi"))).alias("cards"))
+    marker = near.groupBy(*keys, "eid", "activity", "other", "otype").agg(F.count_distinct("oid").alias("c"))
+    event = marker.groupBy(*keys, "eid", "activity").agg(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "otype", "other").alias("m"), "c"))).alias("x"))
+    # events of one kind are one row before the structures are taken apart
+    event = event.groupBy(*keys, "activity", "x").agg(F.count(F.lit(1)).alias("one"))
+    event = event.select(*keys, "activity", F.transform("x", lambda e: e["m"]).alias("structure"), F.explode("x").alias("x"), "one")
+    card = event.groupBy(*keys, "activity", "structure", "x.m").agg(F.min("x.c").alias("lo"), F.max("x.c").alias("hi"), F.sum("one").alias("n"))
+    return card.groupBy(*keys, "activity", "structure").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("m", "lo", "hi"))).alias("cards"))
 
 
 def _types(structure: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(structure, lambda m: F.substring_index(m, ":", 1))))
 
 
-def generators(into: DataFrame, out: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(label, left, right): type-balanced pairs of input and output groups, and a
+def _balanced(into: DataFrame, out: DataFrame, *keys: str) -> DataFrame:
+    """Input and output groups of an activity with the same types, the types being part of the
+    join's key; groups of an activity that has none on the other side stay alone."""
+    at = [*keys, "activity"]
+    into, out = into.withColumn("types", _types(F.col("i"))), out.withColumn("types", _types(F.col("o")))
+    pairs = into.join(out, [*at, "types"])
+    alone = [a.join(b.select(*at).distinct(), at, "left_anti") for a, b in ((into, out), (out, into))]
+    return pairs.unionByName(alone[0], allowMissingColumns=True).unionByName(alone[1], allowMissingColumns=True).drop("types")
+
+
+def generators(into: DataFrame, out: DataFrame, arcs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, label, left, right): type-balanced pairs of input and output groups, and a
     generator for every START_ and END_ arc."""
     none = F.array().cast("array<string>")
-    a, b = into.select("activity", F.col("structure").alias("i")), out.select("activity", F.col("structure").alias("o"))
-    both = a.join(b, "activity", "full").filter(F.col("i").isNull() | F.col("o").isNull() | (_types(F.col("i")) == _types(F.col("o"))))
+    both = _balanced(into.select(*keys, "activity", F.col("structure").alias("i")), out.select(*keys, "activity", F.col("structure").alias("o")), *keys)
     part = lambda m, k: F.substring_index(m, ":", 1) if k == 0 else F.substring_index(m, ":", -1)
     port = lambda src, typ, tgt: F.concat_ws("|", src, typ, tgt)
     inner = both.select(
-        F.col("activity").alias("label"),
+        *keys, F.col("activity").alias("label"),
         F.array_sort(F.transform(F.coalesce("i", none), lambda m: port(part(m, 1), part(m, 0), F.col("activity")))).alias("left"),
         F.array_sort(F.transform(F.coalesce("o", none), lambda m: port(F.col("activity"), part(m, 0), part(m, 1)))).alias("right"),
     )
     arc = F.array(port(F.col("src"), F.col("otype"), F.col("tgt")))
-    first = arcs.filter(F.col("src") == F.concat(F.lit("START_"), "otype")).select(F.col("src").alias("label"), none.alias("left"), arc.alias("right"))
-    last = arcs.filter(F.col("tgt") == F.concat(F.lit("END_"), "otype")).select(F.col("tgt").alias("label"), arc.alias("left"), none.alias("right"))
+    first = arcs.filter(F.col("src") == F.concat(F.lit("START_"), "otype")).select(*keys, F.col("src").alias("label"), none.alias("left"), arc.alias("right"))
+    last = arcs.filter(F.col("tgt") == F.concat(F.lit("END_"), "otype")).select(*keys, F.col("tgt").alias("label"), arc.alias("left"), none.alias("right"))
     return inner.unionByName(first).unionByName(last).distinct()
 
 
-def signature(rel: DataFrame, **thresholds: float) -> DataFrame:
-    """Mined generators of an object-centric log."""
+def signature(rel: DataFrame, *keys: str, **thresholds: float) -> DataFrame:
+    """Mined generators of an object-centric log, or of several that ``keys`` tell apart."""
+    from .settle import settled
     from .succession import dependency_graph
 
-    arcs = dependency_graph(rel, **thresholds)
-    return generators(marker_groups(neighbours(rel, arcs, "in")), marker_groups(neighbours(rel, arcs, "out")), arcs)
+    arcs = settled(dependency_graph(rel, *keys, **thresholds))
+    sides = [marker_groups(neighbours(rel, arcs, side, *keys), *keys) for side in ("in", "out")]
+    return generators(*map(settled, sides), arcs, *keys)
 
 
 def bound_generators(into: DataFrame, out: DataFrame) -> DataFrame:
@@ -103,8 +115,7 @@ def bound_generators(into: DataFrame, out: DataFrame) -> DataFrame:
     none = F.array().cast(_card_type())
     a = into.select("activity", F.col("structure").alias("i"), F.col("cards").cast(_card_type()).alias("ci"))
     b = out.select("activity", F.col("structure").alias("o"), F.col("cards").cast(_card_type()).alias("co"))
-    both = a.join(b, "activity", "full").filter(F.col("i").isNull() | F.col("o").isNull() | (_types(F.col("i")) == _types(F.col("o"))))
-    both = both.select("activity", F.coalesce("ci", none).alias("ci"), F.coalesce("co", none).alias("co"))
+    both = _balanced(a, b).select("activity", F.coalesce("ci", none).alias("ci"), F.coalesce("co", none).alias("co"))
     typ, other = (lambda m: F.substring_index(m, ":", 1)), (lambda m: F.substring_index(m, ":", -1))
     inp = lambda m: F.concat_ws("|", other(m), typ(m), F.col("activity"))
     outp = lambda m: F.concat_ws("|", F.col("activity"), typ(m), other(m))

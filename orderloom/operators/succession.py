@@ -52,15 +52,35 @@ def dependency(ab: Column, ba: Column, same: Column) -> Column:
     return F.when(same, ab / (ab + 1)).otherwise((ab - ba) / (ab + ba + 1))
 
 
+def tallies(log: DataFrame, *keys: str) -> DataFrame:
+    """(keys, kind, a, b, n): direct successions (``next``), two-step loops (``loop``), first and
+    last activities (``first``, ``last``; b is null) from one window and one aggregation."""
+    rows = successions(log, *keys)
+    none = F.lit(None).cast("string")
+    told = lambda kind, b: F.struct(F.lit(kind).alias("kind"), F.col("activity").alias("a"), b.alias("b"))
+    every = F.array_compact(F.array(
+        F.when(F.col("next").isNotNull(), told("next", F.col("next"))).otherwise(told("last", none)),
+        F.when((F.col("next2") == F.col("activity")) & (F.col("next") != F.col("activity")), told("loop", F.col("next"))),
+        F.when(F.col("pos") == 1, told("first", none)),
+    ))
+    return rows.select(*keys, F.explode(every).alias("x")).groupBy(*keys, "x.kind", "x.a", "x.b").agg(F.count(F.lit(1)).alias("n"))
+
+
 def dependencies(log: DataFrame, *keys: str) -> DataFrame:
     """(keys, a, b, n, dep, dep2) of the pairs that occur, with the measure of two-step loops."""
-    n = direct(log, *keys)
-    back = n.select(*keys, F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("ba"))
-    loops = short_loops(log, *keys).withColumnRenamed("n", "aba")
-    pool = loops.join(loops.select(*keys, F.col("a").alias("b"), F.col("b").alias("a"), F.col("aba").alias("bab")), [*keys, "a", "b"], "full").select(
-        *keys, "a", "b", (F.coalesce("aba", F.lit(0)) + F.coalesce("bab", F.lit(0))).alias("l2")
+    return _measured(tallies(log, *keys), *keys)
+
+
+def _measured(tally: DataFrame, *keys: str) -> DataFrame:
+    """Both directions of a pair meet under its smaller label: one aggregation, no join."""
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    count = lambda kind, ahead: F.sum(F.when((F.col("kind") == kind) & ((F.col("a") <= F.col("b")) == ahead), F.col("n")).otherwise(0))
+    pair = tally.filter(F.col("kind").isin("next", "loop")).groupBy(*keys, low.alias("x"), high.alias("y")).agg(
+        count("next", True).alias("xy"), count("next", False).alias("yx"), F.sum(F.when(F.col("kind") == "loop", F.col("n")).otherwise(0)).alias("l2")
     )
-    rows = n.join(back, [*keys, "a", "b"], "left").join(pool, [*keys, "a", "b"], "left").na.fill(0, ["ba", "l2"])
+    way = lambda a, b, n, back: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(n).alias("n"), F.col(back).alias("ba"))
+    both = F.when(F.col("x") == F.col("y"), F.array(way("x", "y", "xy", "xy"))).otherwise(F.array(way("x", "y", "xy", "yx"), way("y", "x", "yx", "xy")))
+    rows = pair.select(*keys, "l2", F.explode(both).alias("w")).select(*keys, "w.*", "l2").filter("n > 0")
     return rows.select(
         *keys, "a", "b", "n", dependency(F.col("n"), F.col("ba"), F.col("a") == F.col("b")).alias("dep"), (F.col("l2") / (F.col("l2") + 1)).alias("dep2")
     )
@@ -77,11 +97,13 @@ def accepted(deps: DataFrame, *keys: str, threshold: float = 0.5, loop1: float =
     return rows.filter(F.when(F.col("a") == F.col("b"), F.col("dep") >= loop1).otherwise(apart)).select(*keys, "a", "b")
 
 
-def dependency_graph(rel: DataFrame, **thresholds: float) -> DataFrame:
-    """Typed arcs (src, otype, tgt) of an object-centric log, with START_ and END_ nodes."""
-    log = rel.select("otype", F.col("oid").alias("case_id"), "activity", "ts", "eid")
-    arcs = accepted(dependencies(log, "otype"), "otype", **thresholds).select(F.col("a").alias("src"), "otype", F.col("b").alias("tgt"))
-    bounds = ends(log, "otype")
-    first = bounds.filter("starts > 0").select(F.concat(F.lit("START_"), "otype").alias("src"), "otype", F.col("activity").alias("tgt"))
-    last = bounds.filter("stops > 0").select(F.col("activity").alias("src"), "otype", F.concat(F.lit("END_"), "otype").alias("tgt"))
+def dependency_graph(rel: DataFrame, *keys: str, **thresholds: float) -> DataFrame:
+    """Typed arcs (keys, src, otype, tgt) of an object-centric log, with START_ and END_ nodes."""
+    from .settle import settled
+
+    log = rel.select(*keys, "otype", F.col("oid").alias("case_id"), "activity", "ts", "eid")
+    tally = settled(tallies(log, *keys, "otype"))
+    arcs = accepted(_measured(tally, *keys, "otype"), *keys, "otype", **thresholds).select(*keys, F.col("a").alias("src"), "otype", F.col("b").alias("tgt"))
+    first = tally.filter("kind = 'first'").select(*keys, F.concat(F.lit("START_"), "otype").alias("src"), "otype", F.col("a").alias("tgt"))
+    last = tally.filter("kind = 'last'").select(*keys, F.col("a").alias("src"), "otype", F.concat(F.lit("END_"), "otype").alias("tgt"))
     return arcs.unionByName(first).unionByName(last)

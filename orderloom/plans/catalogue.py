@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import relations as R
 from ..operators import blocks, estimation, objectcentric, signatures, succession
+from ..operators.settle import settled
 from ..sources import event_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,19 +272,10 @@ def group_meet(s, d):
 
 @query("meet_closure", f'WITH RECURSIVE {PERM}, c(o) AS (SELECT DISTINCT "order" FROM gm UNION SELECT c.o & g."order" FROM c, gm g) SELECT o AS "order", bit_count(o)::INT AS size FROM c')
 def meet_closure(s, d):
-    found, _ = R.meet_closure(_checkpointed(s, meets(s, d)))
+    found, _ = R.meet_closure(meets(s, d))
     return found.select("order", R.size(F.col("order")).cast("int").alias("size"))
 
 
-def _checkpointed(s: SparkSession, df: DataFrame) -> DataFrame:
-    """checkpoint() needs a folder: the cluster's, or one of our own where none is named."""
-    if s.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='orderloom-')}")
-    return df
-
-
 @query("respects_matrix", f'WITH {PERM}, o AS (SELECT DISTINCT "order" FROM gm) SELECT "order", count(*) AS traces FROM o JOIN po ON (chain & "order") = "order" GROUP BY ALL')
 def respects_matrix(s, d):
     o = meets(s, d).select("order").distinct()
@@ -499,7 +491,7 @@ def ocdg_arcs(s, d):
 @query("occn_neighbours", f"WITH {BOTH} SELECT 'in' AS side, act AS activity, otype, other, count(*) AS n FROM near_in GROUP BY ALL UNION ALL SELECT 'out', act, otype, other, count(*) FROM near_out GROUP BY ALL")
 def occn_neighbours(s, d):
     rel = ocel(s, d)
-    arcs = succession.dependency_graph(rel)
+    arcs = settled(succession.dependency_graph(rel))
     parts = [objectcentric.neighbours(rel, arcs, side).groupBy("activity", "otype", "other").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(side)) for side in ("in", "out")]
     return parts[0].unionByName(parts[1]).select("side", "activity", "otype", "other", "n")
 
@@ -512,7 +504,7 @@ def _markers_sql(side: str) -> str:
 @query("occn_markers", f"WITH {BOTH} {_markers_sql('in')} UNION ALL {_markers_sql('out')}")
 def occn_markers(s, d):
     rel = ocel(s, d)
-    arcs = succession.dependency_graph(rel)
+    arcs = settled(succession.dependency_graph(rel))
     parts = [objectcentric.marker_groups(objectcentric.neighbours(rel, arcs, side)).withColumn("side", F.lit(side)) for side in ("in", "out")]
     rows = parts[0].unionByName(parts[1]).select("side", "activity", joined("structure").alias("structure"), "n", F.explode("cards").alias("c"))
     return rows.select("side", "activity", "structure", F.col("c.m").alias("marker"), F.col("c.lo").alias("lo"), F.col("c.hi").alias("hi"), "n")
@@ -575,8 +567,10 @@ def forget_provenance(s, d):
 
 
 def _sides(s, d):
+    """The signatures of both halves of the users, mined together."""
     rel = ocel(s, d).join(events(s, d).select(F.col("event_id").alias("eid"), (F.col("user_id") % 2).alias("h")), "eid")
-    return [objectcentric.signature(rel.filter(f"h = {i}").drop("h")) for i in (0, 1)]
+    sig = settled(objectcentric.signature(rel, "h"))
+    return [sig.filter(f"h = {i}").drop("h") for i in (0, 1)]
 
 
 def _half(i: int) -> str:
