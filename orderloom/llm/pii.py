@@ -148,20 +148,27 @@ def _disclosure(documents: str) -> Column:
     return gain / rare
 
 
+def _most() -> Column:
+    """No term in more documents can disclose the entity."""
+    return F.col("n_entity") * F.pow(F.col("n") / F.col("n_entity"), F.lit(1 - THRESHOLD)) + 1
+
+
 def disclosing(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entity, term, disclosure) of the pairs that exceed the threshold, and
     (doc_id, word, term) of the documents that hold a candidate term as written.
 
     A disclosing term is in at most n_entity (N / n_entity) ** (1 - THRESHOLD)
     documents, and in at least those of the entity's documents that hold it; what
-    exceeds the bound of every entity of its document can't reach the threshold.
+    exceeds the bound of every entity of its document can't reach the threshold.  Of
+    the pairs left, those go whose disclosure falls short already by the documents
+    near entities; only terms of the others are counted over the corpus.
     """
     total = F.broadcast(docs.agg(F.countDistinct("doc_id").cast("double").alias("n")))
     entities = written(_entities(rows))
     many = (
         entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.countDistinct("place").alias("places"))
         .filter(F.col("places") >= SUPPORT).join(total).filter("n_entity < n")
-        .withColumn("most", F.col("n_entity") * F.pow(F.col("n") / F.col("n_entity"), F.lit(1 - THRESHOLD)) + 1).drop("places")
+        .withColumn("most", _most()).drop("places")
     )
     many = written(many)
     held = written(entities.join(broadcastable(many, 8 << 20), "entity"))
@@ -174,18 +181,21 @@ def disclosing(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     bags = written(bags)
     terms = bags.select("doc_id", "most", F.explode_outer("terms").alias("term")).filter((F.length("term") >= LEAST) & ~F.contains("term", F.lit(MARK)))
     some = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"), F.max("most").alias("most"))
-    some = written(some.filter((F.col("n_near") >= SUPPORT) & (F.col("n_near") <= F.col("most"))).select("term"))
+    some = written(some.filter((F.col("n_near") >= SUPPORT) & (F.col("n_near") <= F.col("most"))).select("term", "n_near"))
     near = terms.select("doc_id", "term").join(broadcastable(some, 8 << 20), "term")
     pairs = written(
         near.join(held, "doc_id").groupBy("entity", "term")
-        .agg(F.countDistinct("place").alias("support"), F.count(F.lit(1)).alias("n_pair"), F.max("n_entity").alias("n_entity"), F.max("n").alias("n"))
-        .filter(F.col("support") >= SUPPORT)
-    )
-    wanted = written(pairs.select("term").distinct())
-    occur = written(
-        texts(docs).filter("doc_id is not null").select("doc_id", F.explode_outer(_words("text")).alias("word")).withColumn("term", F.lower("word"))
-        .join(broadcastable(wanted, 8 << 20), "term").select("doc_id", "word", "term")
+        .agg(F.countDistinct("place").alias("support"), F.count(F.lit(1)).alias("n_pair"), F.max("n_entity").alias("n_entity"), F.max("n").alias("n"), F.max("n_near").alias("n_near"))
+        # documents near an entity are documents: what they already rule out needs no count over the corpus
+        .filter((F.col("support") >= SUPPORT) & (_disclosure("n_near") >= THRESHOLD))
     )
+    spelled = texts(docs).filter("doc_id is not null").select("doc_id", F.explode_outer(_words("text")).alias("word")).withColumn("term", F.lower("word"))
+    wanted = written(pairs.groupBy("term").agg(F.max(_most()).alias("most")))
+    # rows with a term, counted where they are; a document has at most so many rows, each a few spellings
+    rough = spelled.join(broadcastable(wanted, 8 << 20), "term").groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.max("most").alias("most"), F.countDistinct("word").alias("spellings"))
+    copies = docs.filter("doc_id is not null").groupBy("doc_id").count().agg(F.max("count").alias("copies"))
+    few = written(rough.join(F.broadcast(copies)).filter("rows <= copies * spellings * most").select("term"))
+    occur = written(spelled.join(broadcastable(few, 8 << 20), "term"))
     counts = occur.groupBy("term").agg(F.countDistinct("doc_id").alias("n_term"))
     scored = pairs.join(counts, "term").select("entity", "term", _disclosure("n_term").alias("disclosure")).filter(F.col("disclosure") >= THRESHOLD)
     return scored, occur
