@@ -228,3 +228,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", digest("text").alias("kept_sha256")
     )
+
+
+#: The query's result stated in SQL.
+ORACLE_SQL = """
+WITH l AS (SELECT doc_id, u.i, u.line, length(trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS n,
+  translate(trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM documents, (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i) u),
+ f AS (SELECT key, min(doc_id) AS first FROM l GROUP BY key),
+ k AS (SELECT doc_id, i, line, n >= 10 AND doc_id > first AS gone FROM l JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id"""

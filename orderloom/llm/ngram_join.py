@@ -471,3 +471,15 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))
+
+
+#: The query's result stated in SQL.
+ORACLE_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+   ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS grams FROM w),
+ g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+ c AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS i FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+ e AS MATERIALIZED (SELECT x, y FROM c WHERE 100 * i >= 85 * (n + m - i)),
+ r AS (SELECT doc_id AS id, doc_id AS root FROM s UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id)
+SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, (SELECT min(root) FROM r WHERE r.id = s.doc_id) AS component_id FROM s"""

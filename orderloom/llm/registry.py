@@ -27,4 +27,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.ORACLE_SQL}
+    return {
+        "op2_ngram_join": ngram_join.ORACLE_SQL,
+        "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op7_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op8_line_dedup": line_dedup.ORACLE_SQL,
+        "op10_decontaminate": decontaminate.ORACLE_SQL,
+    }

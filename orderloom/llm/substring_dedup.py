@@ -271,3 +271,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+#: The query's result stated in SQL.
+ORACLE_SQL = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+ p AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM w WHERE len(words) >= 50),
+ h AS (SELECT doc_id, i, md5_number(array_to_string(words[i:i + 49], ' ')) AS key FROM p),
+ f AS (SELECT key, min(doc_id) AS first FROM h GROUP BY key),
+ g AS (SELECT doc_id, list(i) AS starts FROM h JOIN f USING (key) WHERE doc_id > first GROUP BY doc_id),
+ r AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda s: range(s, s + 50)))) AS gone FROM g),
+ k AS (SELECT doc_id, words, list_filter(range(1, len(words) + 1), lambda j: gone IS NULL OR NOT list_contains(gone, j)) AS kept FROM w LEFT JOIN r USING (doc_id))
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(list_transform(kept, lambda j: words[j]), ' ')) AS kept_sha256 FROM k"""

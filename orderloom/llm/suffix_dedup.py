@@ -286,3 +286,18 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+#: The query's result stated in SQL.
+ORACLE_SQL = """
+WITH n AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+ p AS (SELECT doc_id, hx, unnest(range(1, n - 398)) AS i FROM n WHERE n >= 400),
+ h AS (SELECT doc_id, i, md5_number(substr(hx, 2 * i - 1, 800)) AS key FROM p),
+ d AS (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY key) > 1),
+ m AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS new FROM d),
+ g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+ r AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS b FROM g GROUP BY doc_id, run),
+ q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+ k AS (SELECT doc_id, count(*) AS spans, sum(b - a + 1) AS gone, max(b) AS last, string_agg(substr(hx, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) AS head FROM q JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+ sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM n LEFT JOIN k USING (doc_id)"""
