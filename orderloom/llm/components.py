@@ -3,7 +3,7 @@
 Each round replaces a node's links by links to its least neighbour, first towards
 larger nodes, then towards smaller ones.  Aggregations combine before they
 shuffle, so a hub costs its joins but no single group.  A round ends in a table in
-the shared folder; rounds stop when no link changed (logarithmic in the diameter).
+the shared folder; rounds stop when only stars are left (logarithmic in the diameter).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import written
+from ._plan import discard, written
 
 
 class UnionFind:
@@ -51,19 +51,18 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _stars(held: DataFrame) -> bool:
+    """Every node has one link, to a node that has none: nothing is left to do."""
+    rows, nodes = held.agg(F.count("u"), F.count_distinct("u")).first()
+    return rows == nodes and held.join(held.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, component) of every node of the links (a, b) with a link to another
     node; component is the least id reachable."""
     links = links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).dropna()
     held = written(links.mapInArrow(_forest, "u bigint, v bigint").distinct())
-    before = None
-    while True:
-        state = held.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            return held.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-                held.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        before = state
+    while not _stars(held):
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -71,4 +70,7 @@ def connected(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
         )).alias("x")).select("x.u", "x.v")
-        held = written(small.filter(F.col("u") != F.col("v")).distinct())
+        last, held = held, written(small.filter(F.col("u") != F.col("v")).distinct())
+        discard(last)
+    roots = held.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return held.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
