@@ -18,7 +18,7 @@ node
 
 A template is the path of such segments.  Its purity is the blocked share of its
 labelled urls, smoothed with ``STRENGTH`` towards a prior half way between its
-parent's purity and the corpus's; so a branch that merged with labelled ones has
+parent's purity and the corpus's, one half at most; so a branch that merged with labelled ones has
 their support, and one that stands apart takes less from its parent.  A purity of
 ``REJECT`` or more blocks the template's urls without a rule.
 
@@ -144,7 +144,8 @@ def templates(shapes: DataFrame) -> DataFrame:
 
 def purities(tree: DataFrame) -> DataFrame:
     """host, template, purity: of each template and, on the way, of its parents."""
-    corpus = tree.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1) / (F.coalesce(F.sum("blocked") + F.sum("allowed"), F.lit(0)) + 2)).alias("base"))
+    share = (F.coalesce(F.sum("blocked"), F.lit(0)) + 1) / (F.coalesce(F.sum("blocked") + F.sum("allowed"), F.lit(0)) + 2)
+    corpus = tree.agg(F.least(share, F.lit(0.5)).alias("base"))  # many blocked elsewhere don't speak against a host
     line = F.concat("parents", F.array("template"))
     every = tree.select("host", F.col("template").alias("leaf"), "blocked", "allowed", F.posexplode(line).alias("level", "node"))
     counts = every.groupBy("host", F.col("node")).agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
