@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.settle import checkpoint_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,27 +34,47 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; one of the session's own where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        import tempfile
-
-        top = f"file://{tempfile.mkdtemp(prefix='orderloom-')}"
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{str(top).rstrip('/')}/orderloom-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir; below one of the session's own where that is
+    unset and all runs on one machine."""
+    return f"{str(checkpoint_folder(spark)).rstrip('/')}/orderloom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, keep: bool = True) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there and
     a lost executor costs nothing that was done before."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once what was read from them is written itself."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _measured(field) -> Column:
+    """Bytes of a column's values in memory, a little more than there are."""
+    name, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.sum(F.coalesce(F.octet_length(name), F.lit(0)) + 16)
+    if isinstance(kind, T.ArrayType):
+        return F.sum(F.greatest(F.size(name), F.lit(0)) * (48 if isinstance(kind.elementType, T.StringType) else 16) + 16)
+    return F.sum(F.lit(16))
 
 
 def broadcastable(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
-    """Broadcast hint only if the plan's own size estimate is below ``limit``."""
-    return F.broadcast(df) if size_in_bytes(df) <= limit else df
+    """Broadcast hint only if the rows take less than ``limit`` in memory.  A plan whose files
+    alone are larger is not looked at; else its values are measured, since Parquet's size
+    says little of them."""
+    if size_in_bytes(df) > limit:
+        return df
+    measured = df.agg(*(_measured(f).alias(str(i)) for i, f in enumerate(df.schema))).first()
+    return F.broadcast(df) if sum(x or 0 for x in measured) <= limit else df
 
 
 def texts(docs: DataFrame, *columns: str) -> DataFrame:

@@ -9,7 +9,7 @@ stays only in the smallest doc_id that holds it (all its lines there stay).
    documents of one task) set the same bit, into a *twice-seen* filter.  That
    merge is associative, has no false negatives and needs no lines.
 2. The twice-seen filter is the only thing broadcast.  Its size is a parameter
-   with a hard bound (``MAX_BITS``, 32 MB); beyond the corpus size it was meant
+   with a hard bound (``_bloom.MAX_BITS``, 32 MB); beyond the corpus size it was meant
    for it only lets more suspects through, results stay exact.
 3. Suspects (key digest, doc_id) shuffle once.  A task resolves repeats among
    its own documents first, so a line that a third of the corpus holds reaches
@@ -30,11 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import _bloom
 from . import _bytes as B
-from ._plan import size_in_bytes, table, texts
+from ._plan import table, texts
 
-MAX_BITS = 1 << 28
-SHARD_BITS = 1 << 20
 MIN_CHARS = 10
 
 
@@ -46,98 +45,20 @@ def _keys(data: np.ndarray, offsets: np.ndarray, min_chars: int):
     return start, end, first, lo, hi, points[hi] - points[lo] >= min_chars
 
 
-def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two filter positions of each hash."""
-    mask = np.uint64(bits - 1)
-    return (hashes & mask).astype(np.uint32), ((hashes >> np.uint64(32)) & mask).astype(np.uint32)
+def _line_keys(min_chars: int):
+    def extract(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, _, first, lo, hi, good = _keys(data, offsets, min_chars)
+        line = np.flatnonzero(good)
+        return B.Rolling(data, fold=True).spans(lo[line], hi[line]), np.searchsorted(first, line, "right") - 1
 
-
-def _distinct_in_documents(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, and whether two documents have them."""
-    order = np.lexsort((doc, hashes))
-    h, d = hashes[order], doc[order]
-    if not len(h):
-        return h, np.zeros(0, bool)
-    new = np.r_[True, h[1:] != h[:-1]]
-    other = np.r_[False, (h[1:] == h[:-1]) & (d[1:] != d[:-1])]
-    at = np.flatnonzero(new)
-    return h[at], np.logical_or.reduceat(other, at)
-
-
-def filter_bits(docs: DataFrame, bytes_a_line: int = 64, bits_a_line: int = 16) -> int:
-    """Filter size from the scanned bytes: a power of two, MAX_BITS at most."""
-    lines = max(1, 2 * size_in_bytes(docs) // bytes_a_line)
-    return min(MAX_BITS, max(SHARD_BITS, 1 << int(lines * bits_a_line - 1).bit_length()))
-
-
-def _positions(bits: int, min_chars: int):
-    shards = bits // SHARD_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            known = ~np.asarray(batch.column(0).is_null())
-            data, offsets = B.text_buffers(batch.column(1))
-            hashes, owner = [], []
-            for a, b in B.chunks(offsets):
-                part, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-                _, _, first, lo, hi, good = _keys(part, at, min_chars)
-                line = np.flatnonzero(good & np.repeat(known[a:b], np.diff(first)))
-                hashes.append(B.Rolling(part, fold=True).spans(lo[line], hi[line]))
-                owner.append(ids[a + np.searchsorted(first, line, "right") - 1])
-            if not hashes:
-                continue
-            distinct, twice = _distinct_in_documents(np.concatenate(hashes), np.concatenate(owner))
-            both = _bits(distinct, bits)
-            at = np.concatenate(both)
-            order = np.argsort(at, kind="stable")
-            at, again = at[order], np.concatenate([twice, twice])[order]
-            cut = np.searchsorted(at, np.arange(shards + 1, dtype=np.uint64) * SHARD_BITS)
-            some = np.flatnonzero(np.diff(cut))
-            local = at % np.uint32(SHARD_BITS)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(some, pa.int32()),
-                pa.array([np.unique(local[cut[s]:cut[s + 1]]).tobytes() for s in some], pa.binary()),
-                pa.array([np.unique(local[cut[s]:cut[s + 1]][again[cut[s]:cut[s + 1]]]).tobytes() for s in some], pa.binary()),
-            ], names=["shard", "once", "twice"])
-
-    return run
-
-
-def _merge_shard(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ORs the sorted positions of all tasks; a bit that two of them set goes to the twice-seen filter."""
-    once, twice = np.zeros(SHARD_BITS, bool), np.zeros(SHARD_BITS, bool)
-    for batch in batches:
-        for a, b in zip(batch.column("once"), batch.column("twice"), strict=True):
-            at = np.frombuffer(a.as_py(), np.uint32)
-            twice[at[once[at]]] = True
-            once[at] = True
-            twice[np.frombuffer(b.as_py(), np.uint32)] = True
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())],
-        names=["shard", "bits"],
-    )
-
-
-def twice_seen(docs: DataFrame, bits: int, min_chars: int = MIN_CHARS) -> np.ndarray:
-    """The twice-seen filter as packed bytes; bits / 8 of them, whatever the corpus."""
-    rows = (
-        texts(docs).mapInArrow(_positions(bits, min_chars), "shard int, once binary, twice binary")
-        .groupBy("shard").applyInArrow(_merge_shard, "shard int, bits binary")
-    )
-    out = np.zeros(bits // 8, np.uint8)
-    step = SHARD_BITS // 8
-    for row in rows.toLocalIterator():
-        out[row.shard * step:(row.shard + 1) * step] = np.frombuffer(row.bits, np.uint8)
-    return out
+    return extract
 
 
 def _suspects(shared, bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            known = ~np.asarray(batch.column(0).is_null())
+            ids, known = _bloom.batch_ids(batch.column(0))
             data, offsets = B.text_buffers(batch.column(1))
             best: dict[bytes, int] = {}
             rows: set[tuple[bytes, int]] = set()
@@ -145,9 +66,7 @@ def _suspects(shared, bits: int, min_chars: int):
                 part, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
                 _, _, first, lo, hi, good = _keys(part, at, min_chars)
                 line = np.flatnonzero(good & np.repeat(known[a:b], np.diff(first)))
-                x, y = _bits(B.Rolling(part, fold=True).spans(lo[line], hi[line]), bits)
-                hit = (seen[x >> 3] >> (x & 7).astype(np.uint8)) & (seen[y >> 3] >> (y & 7).astype(np.uint8)) & 1
-                line = line[hit.astype(bool)]
+                line = line[_bloom.contains(seen, B.Rolling(part, fold=True).spans(lo[line], hi[line]), bits)]
                 folded = B.LOWER[part].tobytes()
                 owner = ids[a + np.searchsorted(first, line, "right") - 1]
                 for s, e, doc in zip(lo[line].tolist(), hi[line].tolist(), owner.tolist(), strict=True):
@@ -171,8 +90,8 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int | None =
     Rows that a task already knows to be later than another of its documents are
     spread by doc_id; only one row a task and key meets at the key's group.
     """
-    bits = bits or filter_bits(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, min_chars))
+    bits = bits or _bloom.filter_bits(docs, 64)
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom.twice_seen(docs, _line_keys(min_chars), bits))
     suspects = texts(docs).mapInArrow(_suspects(shared, bits, min_chars), "key binary, doc_id bigint, later boolean")
     group = Window.partitionBy("key", F.when(F.col("later"), F.col("doc_id")))
     return (
