@@ -111,3 +111,130 @@ def pii(text):
             if ok[kind]:
                 out.append(f"{kind}:{m.start()}:{m.end()}")
     return ",".join(out)
+
+
+def secrets(text):
+    """Base spans by the contract's words, without flags or shortcuts."""
+    letter = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    names = "|".join([*map(letter, ("password", "passwd", "secret", "token")), letter("api") + "_?" + letter("key")])
+    found = []
+    for kind, pattern, least, group in (
+        ("assign", rf"""(?:{names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 1), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0),
+    ):
+        found += [(m.start(), len(found), kind, m.end()) for m in re.finditer(pattern, text or "") if len(m.group(group)) >= least]
+    order = {"assign": 0, "access": 1, "hex": 2}
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found, key=lambda x: (x[0], order[x[2]])))
+
+
+def kept(rows, features, spreads, shrink, bound):
+    """{key: kept} from {key: (lang, source, measures)} by exact quantiles; features as the operator's."""
+    import math
+
+    def quantile(values, r):
+        values = sorted(values)
+        return values[max(0, math.ceil(r * len(values)) - 1)]
+
+    def median(values):
+        values = sorted(values)
+        n = len(values)
+        return (values[(n - 1) // 2] + values[n // 2]) / 2
+
+    ratio = lambda m, f: m[features[f][0]] / max(m[features[f][1]], 1)
+    failed = {k: m["n_words"] < 20 or 100 * m["n_repeat_words"] > 30 * m["n_words"] for k, (_, _, m) in rows.items()}
+    out = {k: not failed[k] for k in rows}
+    for f, (_, per, unit) in features.items():
+        groups = defaultdict(list)
+        for k, (lang, source, m) in rows.items():
+            if not failed[k]:
+                groups[lang, source].append(ratio(m, f))
+        own = {g: (quantile(v, 0.5), (quantile(v, 0.9) - quantile(v, 0.5)) / 1.2816, (quantile(v, 0.5) - quantile(v, 0.1)) / 1.2816) for g, v in groups.items()}
+        langs = {lang: [own[g] for g in own if g[0] == lang] for lang, _ in own}
+        of = {lang: tuple(median([x[i] for x in v]) for i in range(3)) for lang, v in langs.items()}
+        corpus = tuple(median([x[i] for x in of.values()]) for i in range(3))
+        of = {lang: tuple((len(langs[lang]) * x + 2 * c) / (len(langs[lang]) + 2) for x, c in zip(of[lang], corpus)) for lang in of}
+        for k, (lang, source, m) in rows.items():
+            if failed[k]:
+                continue
+            n, (c0, up0, dn0) = len(groups[lang, source]), of[lang]
+            c, up, dn = ((n * x + shrink * y) / (n + shrink) for x, y in zip(own[lang, source], of[lang]))
+            c, up, dn = max(min(c, c0 + bound * up0), c0 - bound * dn0), min(up, bound * up0), min(dn, bound * dn0)
+            per_text = max(m[per], 1)
+            noise = c / 2 / math.sqrt(per_text) if unit is None else math.sqrt((c + unit / per_text) * unit / per_text)
+            x = ratio(m, f)
+            if x > c + spreads * (up + noise) or (unit is None and x < c - spreads * (dn + noise)):
+                out[k] = False
+    return out
+
+
+def templates(rows, strength, damp, apart):
+    """{(host, path): purity} from [(host, path, ruling or None)] by a recursive tree."""
+    import math
+
+    fold = lambda path: tuple(s for s in re.sub("[0-9]+", "#", path).split("/") if s)
+    table = defaultdict(lambda: [0, 0, 0])
+    for host, path, ruling in rows:
+        t = table[host, fold(path)]
+        t[0] += 1
+        t[1] += ruling == "block"
+        t[2] += ruling == "allow"
+    b, a = (sum(t[i] for t in table.values()) for i in (1, 2))
+    base = min((b + 1) / (b + a + 2), 0.5)
+    out = {}
+
+    def critical(k):
+        k = max(k, 1)
+        return k * (1 - 2 / (9 * k) + apart * math.sqrt(2 / (9 * k))) ** 3
+
+    def unlike(counts):
+        """Names whose counts {name: {cell: n}} differ from the others'."""
+        cells, total = Counter(), 0
+        for v in counts.values():
+            cells.update(v)
+        total, found = sum(cells.values()), set()
+        for name, v in counts.items():
+            own = sum(v.values())
+            if own in (0, total):
+                continue
+            g = 0.0
+            for cell, n in cells.items():
+                for o, e in ((v.get(cell, 0), own * n / total), (n - v.get(cell, 0), (total - own) * n / total)):
+                    g += 2 * o * math.log(o / e) if o else 0
+            if g > critical(len(cells) - 1):
+                found.add(name)
+        return found
+
+    def grow(members, depth, prior):
+        """members: [(shape, n, blocked, allowed)] of one node."""
+        b, a = sum(m[2] for m in members), sum(m[3] for m in members)
+        purity = (b + strength * (damp * prior + (1 - damp) * base)) / (b + a + strength)
+        done = [m for m in members if len(m[0]) < depth]
+        rest = [m for m in members if len(m[0]) >= depth]
+        found = {m[0]: purity for m in done}
+        if len(members) == 1 and rest:
+            p = (b + strength * (damp * purity + (1 - damp) * base)) / (b + a + strength)
+            return {rest[0][0]: p}
+        child = Counter()
+        for m in rest:
+            child[m[0][depth - 1]] += m[1]
+        single, every = sum(n == 1 for n in child.values()), sum(child.values())
+        variable = {s for s in child if "#" in s or 2 * single >= every}
+        shapes, labels = defaultdict(Counter), defaultdict(Counter)
+        for shape, n, x, y in rest:
+            s = shape[depth - 1]
+            if s not in variable:
+                after = shape[depth] if len(shape) > depth else ""
+                shapes[s][after if "#" in after or not after else "a"] += n
+                labels[s].update({k: v for k, v in (("b", x), ("a", y)) if v})
+        alone = unlike(shapes) | unlike({s: v for s, v in labels.items() if v})
+        branch = defaultdict(list)
+        for m in rest:
+            s = m[0][depth - 1]
+            branch["*" if s in variable else s if s in alone else "{}"].append(m)
+        for some in branch.values():
+            found |= grow(some, depth + 1, purity)
+        return found
+
+    for host in {h for h, _ in table}:
+        found = grow([(s, *t) for (h, s), t in table.items() if h == host], 1, base)
+        out |= {(host, s): p for s, p in found.items()}
+    return {(host, path): out[host, fold(path)] for host, path, _ in rows}
