@@ -82,6 +82,37 @@ def common_boundary(sig: Iterable[Generator], first: str = "gamma1", last: str =
     return out
 
 
+def neutral(sig: Iterable[Generator]) -> set[Generator]:
+    """Ports without where their objects come from: what is left tells type and goal."""
+    port = lambda p: ("*", p[1], p[2])
+    return {
+        Generator(g.label, frozenset(map(port, g.left)), frozenset(map(port, g.right)), frozenset(
+            renamed(c, lambda x, names={name_of(p): name_of(port(p)) for p in g.left | g.right}: names.get(x, x)) for c in g.constraints
+        )) for g in sig
+    }
+
+
+def bindings(g: Generator) -> tuple[dict[tuple[str, str], list[tuple[int, int | None]]], list[str]]:
+    """(side, type) -> the intervals of its legs, those of exactly one left out; and the rules over
+    several legs as text."""
+    told: dict = defaultdict(list)
+    for side, legs in (("left", g.left), ("right", g.right)):
+        for p in sorted(legs, key=str):
+            own = [c for c in g.constraints if c.terms == ((name_of(p), 1),)]
+            low = max([c.rhs for c in own if c.rel != "<="], default=1)
+            high = min([c.rhs for c in own if c.rel != ">="], default=None if own else 1)
+            if (low, high) != (1, 1):
+                told[side, str(p[1])].append((low, high))
+    wide = sorted(f"{' + '.join(f'{k} {p}' if k != 1 else p for p, k in c.terms)} {c.rel} {c.rhs}" for c in g.constraints if len(c.terms) > 1)
+    return {k: sorted(v, key=str) for k, v in told.items()}, wide
+
+
+def bindings_text(g: Generator) -> str:
+    legs, wide = bindings(g)
+    parts = [f"{side} {typ} " + ", ".join(f"{a}..{'*' if b is None else b}" for a, b in spans) for (side, typ), spans in sorted(legs.items())]
+    return "; ".join(parts + wide) or "one of each"
+
+
 # --- structure up to renaming ------------------------------------------------------------
 
 def _incidence(sig: Iterable[Generator]) -> tuple[dict, dict]:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import algebra, composition
 from ..functions.posets import Order, sample_extension
 
 
@@ -124,3 +125,40 @@ def relations_of_runs(spark: SparkSession, runs: Sequence[Sequence], start: str
     df = spark.createDataFrame(rows, "eid bigint, activity string, run int, oid string, otype string").distinct()
     base = F.unix_seconds(F.lit(start).cast("timestamp"))
     return df.select("eid", "activity", F.timestamp_seconds(base + F.col("eid")).alias("ts"), "oid", "otype")
+
+
+def faithful_relations(spark: SparkSession, signature: Sequence, runs: int = 100, seed: int = 7, order: int = 4, longest: int = 10_000) -> DataFrame:
+    """(run, eid, activity, oid, otype): random runs of a signature's groundings that end with
+    nothing left.  A leg carries as many objects as its weight says; an object keeps its
+    identity along ports of its type and each run is recomputed from the seed and its number."""
+    grounded = sorted(algebra.ground(signature, order), key=str)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = composition.explore(grounded)
+        good = composition.closing_states(graph)
+        for pdf in batches:
+            out = []
+            for n in pdf.id:
+                r, state, held, made, eid = random.Random(f"{seed}/{n}"), ((), frozenset()), {}, 0, 0
+                while (state[0] or not state[1]) and eid < longest:
+                    moves = [(g, t) for g, t in graph[state] if t in good]
+                    if not moves:
+                        break
+                    g, state = r.choice(moves)
+                    came: dict[str, list[str]] = {}
+                    for p in sorted(g.left, key=str):
+                        for _ in range(g.weight(p)):
+                            came.setdefault(str(p[1]), []).append(held[p].pop(0))
+                    seen = {(oid, t) for t, ids in came.items() for oid in ids}
+                    for p in sorted(g.right, key=str):
+                        for _ in range(g.weight(p)):
+                            pool = came.get(str(p[1]), [])
+                            oid = pool.pop(0) if pool else f"{n}-{p[1]}-{made}"
+                            made += oid.endswith(f"-{made}")
+                            held.setdefault(p, []).append(oid)
+                            seen.add((oid, str(p[1])))
+                    out += [(n, eid, g.label, oid, t) for oid, t in sorted(seen)]
+                    eid += 1
+            yield pd.DataFrame(out, columns=["run", "eid", "activity", "oid", "otype"])
+
+    return spark.range(runs).mapInPandas(run, "run bigint, eid bigint, activity string, oid string, otype string")
