@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import algebra as A
 from ..functions import constraints as K
+from ..functions import discovery as D
+from ..functions import factored as FA
 from ..functions import graphs as G
 from ..functions import poset_columns as PC
 from ..functions import posets as P
-from ..operators import blocks, estimation
+from ..operators import blocks, estimation, succession
+from ..operators.settle import settled
 from ..sources import event_log
-from .catalogue import DAYS, LABELS, PERMS, _with_empty, events, joined, meets, nine, orders, query
+from .catalogue import DAYS, LABELS, PERM, PERMS, SEQ, _with_empty, day, events, joined, meets, nine, orders, query
 
 
 @query("extension_count_udf", f'WITH {PERMS} SELECT DISTINCT "order", e FROM law')
@@ -124,3 +128,93 @@ def compare_summary(s, d):
     from .catalogue import compare_status
 
     return signatures.per_name(compare_status(s, d), "even")
+
+
+# --- mined and composed models -----------------------------------------------------------------
+
+@query("tallies", f"""WITH {SEQ} SELECT 'next' AS kind, act AS a, nxt AS b, count(*) AS n FROM seq WHERE nxt IS NOT NULL GROUP BY ALL
+ UNION ALL SELECT 'loop', act, nxt, count(*) FROM seq WHERE nxt2 = act AND nxt <> act GROUP BY ALL
+ UNION ALL SELECT 'first', act, NULL, count(*) FROM seq WHERE pos = 1 GROUP BY ALL UNION ALL SELECT 'last', act, NULL, count(*) FROM seq WHERE nxt IS NULL GROUP BY ALL""")
+def tallies(s, d):
+    return succession.tallies(day(s, d))
+
+
+@query("candidate_orders", f'WITH {PERM} SELECT chain AS "order" FROM po UNION SELECT "order" FROM gm UNION SELECT 0')
+def candidate_orders(s, d):
+    return estimation.candidates(s, orders(s, d).select("group_id", "chain"), LABELS, heuristic=True)[0]
+
+
+@query("candidate_closure", f'WITH RECURSIVE {PERM}, c(o) AS (SELECT DISTINCT chain FROM po UNION SELECT c.o & p.chain FROM c, (SELECT DISTINCT chain FROM po) p) SELECT o AS "order" FROM c UNION SELECT 0')
+def candidate_closure(s, d):
+    return estimation.candidates(s, orders(s, d).select("group_id", "chain"), LABELS)[0]
+
+
+@query("counting_limit", f"""WITH {PERMS}, k AS (SELECT count(DISTINCT "order") AS k FROM law), mix AS (SELECT chain, sum(p / k) AS p FROM law, k GROUP BY chain),
+ sup AS (SELECT chain, count(*) AS n FROM law GROUP BY chain) SELECT "order", round(sum(mix.p / n), 9) AS rho FROM law JOIN mix USING (chain) JOIN sup USING (chain) GROUP BY ALL""")
+def counting_limit(s, d):
+    """Where the counting weights go if every order has the same weight."""
+    o = _with_empty(s, d)
+    rho = o.select("order", (F.lit(1.0) / o.count()).alias("rho"))
+    return estimation.counting_limit(estimation.laws(o, s, LABELS), rho).select("order", nine("rho").alias("rho"))
+
+
+@query("recovery", f"""WITH {PERMS}, t AS (SELECT "order", count(*) / (SELECT count(*) FROM gm) AS w FROM gm WHERE group_id % 2 = 0 GROUP BY ALL),
+ f AS (SELECT "order", count(*) / (SELECT count(*) FROM gm) AS w FROM gm WHERE group_id % 2 = 1 GROUP BY ALL)
+ SELECT t."order", round(t.w, 9) AS true_w, round(f.w, 9) AS w, CASE WHEN f.w IS NULL THEN NULL ELSE 0 END AS off FROM t LEFT JOIN f USING ("order")
+ UNION ALL SELECT f."order", NULL, round(f.w, 9), min(bit_count(xor(f."order", t."order"))) FROM f, t WHERE f."order" NOT IN (SELECT "order" FROM t) GROUP BY f."order", f.w""")
+def recovery(s, d):
+    """The orders of odd users as a fit of those of even users."""
+    m = meets(s, d)
+    n = m.count()
+    half = lambda k: m.filter(F.col("group_id") % 2 == k).groupBy("order").agg((F.count(F.lit(1)) / F.lit(n)).alias("w"))
+    rows = estimation.recovery(half(1), half(0), least=0.0)
+    return rows.select("order", nine("true_w").alias("true_w"), nine("w").alias("w"), F.col("off").cast("int").alias("off"))
+
+
+@query("event_nets", f"""WITH {SEQ}, pair AS (SELECT DISTINCT act AS a, nxt AS b FROM seq WHERE nxt IS NOT NULL)
+ SELECT 'START' AS src, act AS tgt FROM seq WHERE pos = 1 GROUP BY ALL UNION SELECT a, b FROM pair UNION SELECT act, 'END' FROM seq WHERE nxt IS NULL GROUP BY ALL""")
+def event_nets(s, d):
+    """The succession net of the daily log as a typed graph, and back from its generators' ports."""
+    rows = settled(succession.tallies(day(s, d))).collect()
+    f = D.Follows.of(tuple(r) for r in rows)
+    g = G.Graph({x: x for x in [*f.activities, "START", "END"]})
+    for a, b in [*f.arcs, *(("START", x) for x in f.first), *((x, "END") for x in f.last)]:
+        for hub, side in ((f"out {a}", "out"), (f"in {b}", "in")):
+            if hub not in g.routers:
+                g.routers[hub] = "XOR"
+                g.edges.append((a, hub, "case") if side == "out" else (hub, b, "case"))
+        g.edges.append((f"out {a}", f"in {b}", "case"))
+    ports = A.ports(G.extract(g.check()))
+    return s.createDataFrame(sorted((p[0], p[2]) for p in ports), "src string, tgt string")
+
+
+@query("hub_profiles", "SELECT CAST(k AS INT) AS arcs, CAST(1 << k AS BIGINT) AS profiles FROM range(1, 16) t(k)")
+def hub_profiles(s, d):
+    """Type counts that a hub with k optional typed arcs of four alternatives can reach: the
+    count follows the arcs and not the 5 ** k contexts."""
+
+    def hub(k: int) -> G.Graph:
+        g = G.Graph({"hub": "hub"})
+        for i in range(k):
+            g.routers |= {f"p{i}": "XOR", f"skip{i}": "SEQ"}
+            g.labels |= {f"x{i}.{j}": f"x{i}.{j}" for j in range(4)}
+            g.edges += [("hub", f"p{i}", f"t{i}"), (f"p{i}", f"skip{i}", f"t{i}"), *((f"p{i}", f"x{i}.{j}", f"t{i}") for j in range(4))]
+        return g
+
+    return s.createDataFrame([(k, len(G.profiles(hub(k), "hub", True))) for k in range(1, 16)], "arcs int, profiles bigint")
+
+
+@query("chain_hub", "SELECT CAST(k AS INT) AS arcs, CAST(1 AS BIGINT) AS ready, CAST(1 << k AS BIGINT) AS contexts FROM range(1, 21) t(k)")
+def chain_hub(s, d):
+    """A hub with k arcs of two sources each: what a pool of one object an arc makes ready is
+    found without its 2 ** k contexts."""
+    rows = []
+    for k in range(1, 21):
+        g = G.Graph({"hub": "hub"} | {f"{x}{i}": f"{x}{i}" for x in "ab" for i in range(k)}, {f"m{i}": "XOR" for i in range(k)})
+        g.edges = [e for i in range(k) for e in ((f"a{i}", f"m{i}", f"t{i}"), (f"b{i}", f"m{i}", f"t{i}"), (f"m{i}", "hub", f"t{i}"))]
+        f = next(x for x in FA.skeleton(g).activities if x.label == "hub")
+        contexts = 1
+        for family in f.left:
+            contexts *= len(family)
+        rows.append((k, len(f.ready({(f"a{i}", f"t{i}", "hub"): 1 for i in range(k)})), contexts))
+    return s.createDataFrame(rows, "arcs int, ready bigint, contexts bigint")
