@@ -238,3 +238,61 @@ def templates(rows, strength, damp, apart):
         found = grow([(s, *t) for (h, s), t in table.items() if h == host], 1, base)
         out |= {(host, s): p for s, p in found.items()}
     return {(host, path): out[host, fold(path)] for host, path, _ in rows}
+
+
+def measures(text):
+    text = text or ""
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    more = {"n_lines": sum(WORD.search(x) is not None for x in text.split("\n")), "n_capitals": len(re.findall("[A-Z]", text)), "n_marks": len(re.findall("[!?]", text))}
+    return dict(zip(names, quality(text))) | more
+
+
+def without_lines(docs):
+    """{doc: text} after line dedup."""
+    key = lambda line: line.strip(SPACE).translate(LOWER)
+    held = defaultdict(set)
+    for d, t in docs:
+        for line in (t or "").split("\n"):
+            held[key(line)].add(d)
+    return {d: "\n".join(x for x in (t or "").split("\n") if len(key(x)) < 10 or d == min(held[key(x)])) for d, t in docs}
+
+
+def classes(docs, size, percent):
+    """{doc: smallest doc of its class} by shingles of so many words."""
+    sets = {}
+    for d, t in docs:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[d] = {tuple(w[i:i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    least = {d: d for d in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and (i := len(sets[a] & sets[b])) and 100 * i >= percent * len(sets[a] | sets[b])]
+    while True:
+        before = dict(least)
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            return least
+
+
+def contaminations(docs, items, masks, span, percent, run, least):
+    """{(doc, item): words that agree} of the pairs that count."""
+    import string
+
+    words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower().translate(str.maketrans("", "", string.punctuation))) if w]
+    out = {}
+    for d, t in docs:
+        dw = words(t)
+        for i, u in items:
+            iw = words(u)
+            if 0 < len(iw) < span:
+                if any(dw[p:p + len(iw)] == iw for p in range(len(dw) - len(iw) + 1)):
+                    out[d, i] = len(iw)
+                continue
+            shifts = {
+                p - q for m in masks for p in range(len(dw) - span + 1) for q in range(len(iw) - span + 1)
+                if all(dw[p + k] == iw[q + k] for k in range(span) if m[k] == "1")
+            }
+            agree = [[0 <= s + j < len(dw) and dw[s + j] == iw[j] for j in range(len(iw))] for s in shifts]
+            most = max(map(sum, agree), default=0)
+            if agree and (100 * most >= percent * len(iw) or any(sum(a[j:j + run]) >= least for a in agree for j in range(len(iw) - run + 1))):
+                out[d, i] = most
+    return out

@@ -1,9 +1,7 @@
 import corpus_pipeline
-from brute import lines
+from brute import classes, lines
 from test_llm_operators import corpus, frame
 
-from orderloom.llm import ngram_join
-
 
 def test_stages_keep_the_columns(spark, tmp_path):
     docs = frame(spark, corpus(3)).select(*corpus_pipeline.COLUMNS)
@@ -29,7 +27,5 @@ def test_line_stage_is_the_operator(spark):
 
 def test_one_of_each_class_stays(spark):
     docs = corpus(6)
-    df = frame(spark, docs)
-    after = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
-    classes = {r.doc_id: r.component_id for r in ngram_join.joined(df).collect()}
-    assert after == set(classes.values())
+    after = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, docs), "").collect()}
+    assert after == set(classes(docs, 5, 80).values())
