@@ -41,7 +41,7 @@ def corpus(seed=0, n=120):
 
 
 def frame(spark, docs):
-    return spark.createDataFrame([(d, t, "en", None if d % 2 else "s", len(t or ""), "x", "y", 1, 2, 3, "z") for d, t in docs], SCHEMA).repartition(5)
+    return spark.createDataFrame([(d, t, "en", None if (d or 0) % 2 else "s", len(t or ""), "x", "y", 1, 2, 3, "z") for d, t in docs], SCHEMA).repartition(5)
 
 
 @pytest.fixture(scope="module")
