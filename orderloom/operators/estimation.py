@@ -174,51 +174,57 @@ def corrected(logf: np.ndarray, w: np.ndarray, iters: int = 3000, tol: float = 1
     return w
 
 
-def _column(logf: DataFrame, atom: int) -> dict:
-    return dict(logf.filter(F.col("atom_id") == atom).select("group_id", "logf").toPandas().itertuples(index=False))
+def _columns(logf: DataFrame, atoms: Iterable[int]) -> dict[int, dict]:
+    """Of each atom its likelihoods by group."""
+    out: dict[int, dict] = {a: {} for a in atoms}
+    for a, g, x in logf.filter(F.col("atom_id").isin(list(out))).select("atom_id", "group_id", "logf").toPandas().itertuples(index=False):
+        out[a][g] = x
+    return out
 
 
-def fit_mixture(logf: DataFrame, gap_tol: float = 1e-4, max_iters: int = 60, floor: float = 1e-8, first: int | None = None) -> tuple[dict[int, float], float, list[float]]:
+def fit_mixture(logf: DataFrame, gap_tol: float = 1e-4, max_iters: int = 60, floor: float = 1e-8, first: int | None = None, most: int = 8) -> tuple[dict[int, float], float, list[float]]:
     """Column generation: (weights by atom, certified gap, log-likelihoods).
 
-    Pricing runs distributed over all atoms and groups, which are dealt by group once.  One
-    number a group comes to the driver when an atom becomes active.  ``first`` is the atom to
-    begin with; the optimum does not depend on it.  An active atom that prices best again
-    means that the weights had not converged: they are tightened and priced once more.
+    Pricing runs distributed over all atoms and groups, which are dealt by group once.  A
+    round lets in up to ``most`` atoms that price above one; one number a group comes to the
+    driver for each.  ``first`` is the atom to begin with; the optimum does not depend on it.
+    An active atom that prices best again means that the weights had not converged: they are
+    tightened and priced once more.
     """
     spark = logf.sparkSession
     logf = logf.repartition("group_id").persist()
     try:
         if first is None:
             first = logf.groupBy("atom_id").agg(F.sum("logf").alias("s")).orderBy(F.desc("s"), "atom_id").first().atom_id
-        columns = {first: _column(logf, first)}
+        columns = _columns(logf, [first])
         groups = list(columns[first])
         w, path = {first: 1.0}, []
         for _ in range(max_iters):
             f = np.array([[columns[a][g] for g in groups] for a in w])
             weight = corrected(f, np.array(list(w.values())))
-            best, score = _best(spark, logf, w, weight)
-            if best in w and score - 1 > gap_tol:
+            best = _best(spark, logf, w, weight, most)
+            if best[0][0] in w and best[0][1] - 1 > gap_tol:
                 weight = tightened(f, weight, gap_tol)
-                best, score = _best(spark, logf, w, weight)
+                best = _best(spark, logf, w, weight, most)
             top = f.max(axis=0)
             path.append(float((np.log(weight @ np.exp(f - top)) + top).sum()))
             w = dict(zip(w, weight.tolist(), strict=True))
-            if score - 1 <= gap_tol or best in w:
+            if best[0][1] - 1 <= gap_tol or best[0][0] in w:
                 break
+            new = [a for a, score in best if a not in w and score > 1]
             kept = {a: x for a, x in w.items() if x > floor}
             total = sum(kept.values())
-            w = {a: x * (1 - 1e-3) / total for a, x in kept.items()} | {best: 1e-3}
-            columns = {a: columns[a] if a in columns else _column(logf, a) for a in w}
-        return w, float(score - 1), path
+            w = {a: x * (1 - 1e-3) / total for a, x in kept.items()} | dict.fromkeys(new, 1e-3 / len(new))
+            columns = {a: columns[a] for a in kept} | _columns(logf, new)
+        return w, float(best[0][1] - 1), path
     finally:
         logf.unpersist()
 
 
-def _best(spark: SparkSession, logf: DataFrame, active: dict, weight: np.ndarray) -> tuple[int, float]:
+def _best(spark: SparkSession, logf: DataFrame, active: dict, weight: np.ndarray, most: int) -> list[tuple[int, float]]:
+    """The atoms that price best, with their scores."""
     rows = spark.createDataFrame(list(zip(active, weight.tolist(), strict=True)), "atom_id int, w double")
-    found = priced(logf, rows).orderBy(F.desc("score"), "atom_id").first()
-    return found.atom_id, found.score
+    return [(r.atom_id, r.score) for r in priced(logf, rows).orderBy(F.desc("score"), "atom_id").limit(most).collect()]
 
 
 def tightened(f: np.ndarray, w: np.ndarray, gap_tol: float, rounds: int = 20) -> np.ndarray:
@@ -247,7 +253,7 @@ def refitted(table: DataFrame, leftovers: DataFrame, atom: DataFrame, weights: d
     rows = table.unionByName(leftovers)
     pbar = rows.select("chain").distinct().join(pooled(table), "chain", "left").select("chain", F.coalesce("pbar", F.lit(0.0)).alias("pbar"))
     logf = group_loglik(rows, pbar, atom.filter(F.col("atom_id").isin(list(weights))), m)
-    columns = {a: _column(logf, a) for a in weights}
+    columns = _columns(logf, weights)
     groups = list(next(iter(columns.values())))
     f = np.array([[columns[a][g] for g in groups] for a in weights])
     if lost := [g for g, x in zip(groups, f.max(axis=0)) if x == -np.inf]:
