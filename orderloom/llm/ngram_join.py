@@ -11,15 +11,19 @@ are one set from the first step on, named by their digest, so copies cost nothin
    one stands for it, so a shingle that everybody has meets its bucket once a task.
    Sets with too few shared ones link with nobody; few others remain.
 2. The whole sets of those are dealt likewise.  The order is now: shingles of one
-   set only first, then the rest by hash; a pair that links shares one of the first
+   set only first, then the rest by hash, then those that more than ``COMMON`` sets
+   have, the rarest first.  A pair that links shares one of the first
    ``n - ceil(0.85 n) + 1`` of both, and the shingles of one set only needn't travel on.
 3. Sets joined by a shared prefix shingle form groups (connected components), cut
-   into blocks of like size class and at most about ``BLOCK`` sets.  Each block meets
-   ``PIVOTS`` sets of its group and class first, which puts a large group of near
-   copies into one class at once.
-4. Blocks are formed anew, large classes apart.  Two blocks meet where they share a
-   prefix shingle, their size classes are neighbours and they aren't of one class
-   already: n sets of one class and m others cost n m / BLOCK and not n squared.
+   into blocks of like size class and at most about ``BLOCK`` sets, those with the
+   same first shingle together.  Each block meets ``PIVOTS`` sets of its group and
+   class first, which puts a large group of near copies into one class at once.
+4. In groups of several blocks, sets of different classes pair up where they share
+   as many shingles as step 1 asks for, none of them common; such pairs are compared.
+   A pair with a common one among those is left to blocks formed anew, large classes
+   apart, of the sets with common shingles in the prefix.  Two blocks meet where they
+   share one, their size classes are neighbours and they aren't of one class already:
+   n sets of one class and m others cost n m / BLOCK and not n squared.
 5. A task puts the sets of its blocks into a prefix tree.  Every set traverses it:
    the overlap with a shared path is counted once for all sets below, subtrees are
    pruned when overlap plus remaining length can't reach the threshold or their
@@ -45,12 +49,14 @@ from pyspark.sql import functions as F
 
 from . import _bloom
 from . import _bytes as B
-from ._plan import broadcastable, bucket_count, small_batches, table, texts, written
+from ._plan import broadcastable, bucket_count, discard, small_batches, table, texts, written
 from .components import UnionFind, connected
 
 SIZE, PERCENT, BLOCK, PIVOTS = 4, 85, 512, 4
 #: Share of a set that the first step looks at beyond the shortest prefix.
 LEAD = 0.08
+#: A shingle that more sets have is common: it ends the order of shingles.  At most MOST are told apart.
+COMMON, MOST = 64, 1 << 18
 #: A task deals so many shingles at a time.
 FLUSH = 1 << 20
 
@@ -371,15 +377,69 @@ def _tree_join(percent: int):
     return _hinted(run)
 
 
-def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shared shingle of a prefix."""
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a batch's sets have each shingle."""
     for batch in batches:
-        lead = [np.frombuffer(g.as_py(), "<i8")[:n] for g, n in zip(batch.column("grams"), batch.column("lead").to_pylist(), strict=True)]
-        count = [len(x) for x in lead]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.repeat(batch.column("doc_id").to_numpy(), count), pa.int64()),
-            pa.array(np.concatenate(lead) if lead else np.zeros(0, np.int64), pa.int64()),
-        ], names=["doc_id", "gram"])
+        if batch.num_rows:
+            gram, n = np.unique(np.concatenate([np.frombuffer(g.as_py(), "<i8") for g in batch.column(0)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
+
+
+def common_shingles(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, ranks) of those that more than COMMON of the sets have, the rarest first; the
+    bound doubles until at most MOST are left.  They only order the sets, so the table stays small."""
+    counts = written(held.select("grams").mapInArrow(_gram_counts, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON))
+    many, bound = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect(), COMMON
+    while sum(r["count"] for r in many if 2 << r.b > bound) > MOST:
+        bound *= 2
+    rows = counts.filter(F.col("n") > bound).toPandas()
+    discard(counts)
+    gram, n = rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    rank = np.empty(len(gram), np.int64)
+    rank[np.lexsort((gram, n))] = np.arange(len(gram))
+    order = np.argsort(gram)
+    return gram[order], rank[order]
+
+
+def _leads(common, percent: int):
+    """One row for each shared shingle of a prefix long enough for ``least_shared`` common
+    ones; the common shingles come last.  near: in the shortest prefix; first: the first of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, rank = common.value
+        for batch in batches:
+            out, sizes, near, many = [], [], [], []
+            for raw, n, lead in zip(batch.column("grams"), batch.column("n").to_pylist(), batch.column("lead").to_pylist(), strict=True):
+                mine = np.frombuffer(raw.as_py(), "<i8")
+                at = np.minimum(np.searchsorted(grams, mine), max(len(grams) - 1, 0))
+                hot = grams[at] == mine if len(grams) else np.zeros(len(mine), bool)
+                stop = min(len(mine), lead + int(least_shared(n, percent)) - 1)
+                rare = mine[~hot][:stop]
+                out += [rare, mine[hot][np.argsort(rank[at[hot]])][:stop - len(rare)]] if len(rare) < stop else [rare]
+                sizes.append(stop)
+                near.append(np.arange(stop) < lead)
+                many.append(np.arange(stop) >= len(rare))
+            first = np.zeros(sum(sizes), bool)
+            first[np.cumsum([0, *sizes[:-1]])] = True
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(batch.column("doc_id").to_numpy(), sizes), pa.int64()), pa.array(np.repeat(batch.column("n").to_numpy(), sizes), pa.int64()),
+                pa.array(np.concatenate(out), pa.int64()), *(pa.array(np.concatenate(x), pa.bool_()) for x in (near, many)), pa.array(first, pa.bool_()),
+            ], names=["doc_id", "n", "gram", "near", "common", "first"])
+
+    return lambda batches: run(b for b in batches if b.num_rows)
+
+
+def _verified(percent: int):
+    """Of pairs (a, b) with their sizes and shared shingles, those that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_pylist(), batch.column("m").to_pylist()
+            grams = [[np.frombuffer(x.as_py(), "<u8") for x in batch.column(c)] for c in ("x", "y")]
+            keep = pa.array([len(np.intersect1d(x, y, assume_unique=True)) >= needed(i, j, percent) for x, y, i, j in zip(*grams, n, m, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return run
 
 
 def suspects(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -405,15 +465,20 @@ def _groups(lead: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between sets, by name: enough for the components."""
+    spark = docs.sparkSession
     some = written(suspects(docs, sets, size, percent))
     weight = some.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weight // FLUSH))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weight // FLUSH))
     dealt = texts(docs).join(broadcastable(some.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_deal_texts(buckets, size), _DEALT)
     held = written(_candidates(dealt, buckets, percent))
-    lead = written(held.select("doc_id", "grams", "lead").mapInArrow(_leads, "doc_id bigint, gram bigint"))
-    placed = written(held.select("doc_id", "n").join(_groups(lead), F.col("doc_id") == F.col("id")).select(
-        "doc_id", "component", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).alias("class")
-    ))
+    common = spark.sparkContext.broadcast(common_shingles(held))
+    lead = written(held.select("doc_id", "n", "grams", "lead").mapInArrow(_leads(common, percent), "doc_id bigint, n bigint, gram bigint, near boolean, common boolean, first boolean"))
+    placed = lead.filter("first").select("doc_id", "n", F.col("gram").alias("key")).join(_groups(lead.filter("near").select("doc_id", "gram")), F.col("doc_id") == F.col("id")).select(
+        "doc_id", "component", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).alias("class"), "key"
+    )
+    # sets with the same first shingle are cut into one block, if they aren't more than a block
+    alike = placed.groupBy("component", "class", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    placed = written(placed.join(alike, ["component", "class", "key"]).withColumn("spot", F.xxhash64("key", F.pmod(F.xxhash64("doc_id"), F.col("parts")))).drop("key", "parts"))
     whole = held.select("doc_id", "n", "grams")
 
     # first every block by itself, with some sets of its group and of the size classes beside
@@ -421,8 +486,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PER
         F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"),
         *(F.min_by("doc_id", F.xxhash64(F.lit(i), F.col("doc_id"))).alias(f"p{i}") for i in range(PIVOTS)),
     )
-    cut = lambda: F.pmod(F.xxhash64("doc_id"), F.col("cuts")).alias("cut")
-    own = placed.join(group.select("component", "class", "cuts"), ["component", "class"]).select("doc_id", "component", "class", cut())
+    own = placed.join(group.select("component", "class", "cuts"), ["component", "class"]).select("doc_id", "component", "class", F.pmod("spot", "cuts").alias("cut"))
     pivots = group.select(
         "component", "class", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("doc_id")
     ).select("component", "doc_id", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
@@ -432,16 +496,28 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PER
     routed = own.unionByName(guests).distinct().join(whole, "doc_id").withColumn("label", F.lit(0).cast("bigint"))
     near = written(routed.groupBy("component", "class", "cut").applyInArrow(_tree_join(percent), "a bigint, b bigint"))
 
-    # then the blocks of groups of several, except those that are of one class already
+    # then sets of different classes: pairs that share enough shingles of their prefixes, none of them common
     several = group.groupBy("component").agg(F.sum("cuts").alias("blocks")).filter("blocks > 1").select("component")
     rest = placed.join(several, "component").join(connected(near).select(F.col("id").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left")
     rest = written(rest.withColumn("label", F.coalesce("label", "doc_id")))
+    one = lead.join(rest.select("doc_id", "label"), "doc_id").filter("not common").select("gram", F.col("doc_id").alias("a"), "n", F.col("label").alias("p"))
+    two = one.select("gram", F.col("a").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"))
+    fits = (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    enough = F.greatest(F.lit(1), F.ceil(LEAD * F.ceil(F.least("n", "m") * percent / 100)))
+    pairs = one.join(two, "gram").filter(fits).groupBy("a", "n", "b", "m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= enough).drop("c")
+    sides = [held.select(F.col("doc_id").alias(c), F.col("grams").alias(g)) for c, g in (("a", "x"), ("b", "y"))]
+    few = written(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_verified(percent), "a bigint, b bigint"))
+
+    # and the blocks of sets with a common shingle in the prefix, except those of one class already
+    lead = lead.filter("common").select("doc_id", "gram")
+    rest = rest.join(lead.select("doc_id").distinct(), "doc_id", "left_semi")
     kin = rest.groupBy("component", "class", "label").agg(F.count(F.lit(1)).alias("n"))
     kin = kin.withColumn("kind", F.when(F.col("n") >= BLOCK, F.col("label")).otherwise(0))  # 0: all the small ones
     kinds = kin.groupBy("component", "class", "kind").agg(F.ceil(F.sum("n") / BLOCK).alias("cuts"))
     told = rest.join(kin.select("component", "class", "label", "kind"), ["component", "class", "label"])
     at = ["component", "class", "kind"]
-    blocks = written(told.join(kinds, at).select("doc_id", "label", F.struct(*at, cut()).alias("block")))
+    cut = F.pmod(F.when(F.col("kind") == 0, F.col("spot")).otherwise(F.xxhash64("doc_id")), F.col("cuts")).alias("cut")
+    blocks = written(told.join(kinds, at).select("doc_id", "label", F.struct(*at, cut).alias("block")))
     # a class that fills several blocks is one partner; its blocks part again below
     face = F.struct(*(F.col(f"block.{c}") for c in at), F.when(F.col("block.kind") == 0, F.col("block.cut")).otherwise(-1).alias("cut"))
     holds = lead.join(blocks, "doc_id").select("gram", face.alias("x")).distinct()
@@ -452,7 +528,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int = SIZE, percent: int = PER
     routes = units.select(F.col("p").alias("block"), "p", "q").unionByName(units.filter("p != q").select(F.col("q").alias("block"), "p", "q"))
     routed = blocks.select("doc_id", "label", "block").join(routes, "block").select("doc_id", "label", "p", "q").join(whole, "doc_id")
     far = routed.groupBy("p", "q").applyInArrow(_tree_join(percent), "a bigint, b bigint")
-    return near.unionByName(far)
+    return near.unionByName(few).unionByName(far)
 
 
 def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

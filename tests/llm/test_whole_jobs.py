@@ -8,11 +8,12 @@ import random
 import zlib
 
 import corpus_pipeline
-from brute import sha, substrings
+import pytest
+from brute import components, sha, substrings
 from pyspark.sql import functions as F
 from test_llm_operators import frame
 
-from orderloom.llm import pii, secrets, substring_dedup
+from orderloom.llm import ngram_join, pii, secrets, substring_dedup
 
 
 def words(name, n):
@@ -137,3 +138,28 @@ def test_secret_spans_map_back():
     at = len(inner[:inner.index("token")].encode())
     assert text[:a].replace("\n  ", "") == f"漢 x/{run[:at * 4 // 3]}"
     assert text[a:b].startswith(run[at * 4 // 3:][:4])
+
+
+@pytest.mark.parametrize("common, most", [(2, 1 << 18), (2, 4)])
+def test_sets_that_common_shingles_join_meet_by_their_rare_ones(spark, monkeypatch, common, most):
+    rng = random.Random(common)
+    stock = [words(f"s{i}", 12) for i in range(6)]  # phrases that many texts have
+    texts = [f"{rng.choice(stock)} {words(f't{i // 6}x', 60)} {rng.choice(stock)} e{i}" for i in range(60)]
+    texts += [f"{t} more words" for t in texts[::3]] + [" ".join(rng.sample(stock, 4)) for _ in range(20)]
+    docs = list(enumerate(texts))
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "MOST", most)
+    found = ngram_join.joined(frame(spark, docs))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == components(docs)
+
+
+def test_common_shingles_end_the_prefix(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON", 2)
+    row = lambda i, grams: (i, 40, bytearray(b"".join(g.to_bytes(8, "little") for g in grams)), 3)
+    held = spark.createDataFrame([row(1, [1, 2, 7, 8]), row(2, [1, 2, 7, 9]), row(3, [1, 2, 9, 11]), row(4, [1, 12])], "doc_id bigint, n bigint, grams binary, lead bigint")
+    known = ngram_join.common_shingles(held)
+    assert [x.tolist() for x in known] == [[1, 2], [1, 0]]
+    rows = held.mapInArrow(ngram_join._leads(spark.sparkContext.broadcast(known), 85), "doc_id bigint, n bigint, gram bigint, near boolean, common boolean, first boolean").collect()
+    assert [r.gram for r in rows if r.doc_id == 1] == [7, 8, 2, 1] and [r.gram for r in rows if r.doc_id == 4] == [12, 1]
+    assert [(r.near, r.common, r.first) for r in rows if r.doc_id == 1] == [(True, False, True), (True, False, False), (True, True, False), (False, True, False)]
