@@ -378,22 +378,23 @@ LOGF = PERMS + """, dn AS (SELECT "order", po2.chain, ln(0.95 * (0.9 * CASE WHEN
  lf AS (SELECT "order", group_id, sum(cnt * lnp) AS logf FROM cnt JOIN dn USING (chain) GROUP BY ALL)"""
 
 
-def _logf(s, d):
+def _mixture(s, d):
+    """Counts, marginal, atoms and the number of labels; the model-sized two are settled."""
     c = estimation.counts(orders(s, d))
-    atom = estimation.atoms(_with_empty(s, d), s, LABELS, (0.1,), (0.05,))
-    return atom, estimation.group_loglik(c, estimation.pooled(c), atom, len(LABELS))
+    return c, settled(estimation.pooled(c)), settled(estimation.atoms(_with_empty(s, d), s, LABELS, (0.1,), (0.05,))), len(LABELS)
 
 
 @query("group_logf", f'WITH {LOGF} SELECT "order", group_id, round(logf, 6) AS logf FROM lf')
 def group_logf(s, d):
-    atom, logf = _logf(s, d)
-    return logf.join(F.broadcast(atom), "atom_id").select("order", "group_id", F.round("logf", 6).alias("logf"))
+    c, pbar, atom, m = _mixture(s, d)
+    return estimation.group_loglik(c, pbar, atom, m).join(F.broadcast(atom), "atom_id").select("order", "group_id", F.round("logf", 6).alias("logf"))
 
 
 @query("price_atoms", f"""WITH {LOGF}, ld AS (SELECT group_id, max(logf) + ln(sum(exp(logf - mx)) / count(*)) AS logd FROM (SELECT *, max(logf) OVER (PARTITION BY group_id) AS mx FROM lf) GROUP BY ALL)
  SELECT "order", round(avg(exp(logf - logd)), 6) AS score FROM lf JOIN ld USING (group_id) GROUP BY ALL""")
 def price_atoms(s, d):
-    atom, logf = _logf(s, d)
+    c, pbar, atom, m = _mixture(s, d)
+    logf = estimation.group_loglik(c, pbar, atom, m)
     even = atom.join(F.broadcast(atom.agg(F.count(F.lit(1)).alias("k")))).select("atom_id", (1 / F.col("k")).alias("w"))
     scores = estimation.price(logf, estimation.log_mixture(logf, even))
     return scores.join(F.broadcast(atom), "atom_id").select("order", F.round("score", 6).alias("score"))
@@ -402,8 +403,8 @@ def price_atoms(s, d):
 @query("npmle_fit")
 def npmle_fit(s, d):
     """Weights of the fitted mixture by order, and the certified gap."""
-    atom, logf = _logf(s, d)
-    weights, gap, _ = estimation.fit_mixture(logf)
+    c, pbar, atom, m = _mixture(s, d)
+    weights, gap, _ = estimation.fit_mixture(estimation.group_loglik(c, pbar, atom, m))
     rows = s.createDataFrame([(int(a), float(w)) for a, w in weights.items()], "atom_id int, w double")
     return rows.join(atom, "atom_id").select("order", "e", nine("w").alias("w"), F.lit(round(gap, 6)).alias("gap"))
 

@@ -241,3 +241,35 @@ def test_drawings():
         drawings.status_map([("x", "match")] * 5, ["p"], limit=4)
     assert len(drawings.order_generators([(P.n_order(), 1.0)])) == 4 and set(drawings.listed(sig)) == {"a", "b", "c"}
     assert drawings.colours("ba") == {"a": drawings.PALETTE[0], "b": drawings.PALETTE[1]} and drawings.has_dot() in (True, False)
+
+
+def test_likelihoods_are_made_where_the_groups_lie(spark, mixture):
+    _, _, table, atom, logf = mixture
+    text = logf._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "Exchange" not in text[:text.index("MapInArrow")]  # nothing of atoms x groups moves
+    pbar = estimation.pooled(table)
+    k = estimation.kernel(pbar, atom, 3)
+    rows = estimation.profiles(table)
+    assert rows.agg(F.sum("n")).first()[0] == table.select("group_id").distinct().count() >= rows.count()
+    weights = {int(a): (i + 1) / sum(range(len(k.ids) + 1)) for i, a in enumerate(k.ids)}
+    frame = spark.createDataFrame(list(weights.items()), "atom_id int, w double")
+    old = {r.atom_id: r.score for r in estimation.price(logf, estimation.log_mixture(logf, frame)).collect()}
+    new = {r.atom_id: r.score for r in estimation.scores(rows, k, weights).collect()}
+    assert new == pytest.approx(old, rel=1e-9)
+
+
+def test_fit_from_counts_agrees_with_the_fit_from_likelihoods(spark, mixture):
+    _, _, table, atom, logf = mixture
+    w, gap, path = estimation.fit_mixture(logf)
+    w2, gap2, path2 = estimation.fit_counts(table, estimation.pooled(table), atom, 3)
+    assert gap <= 1e-4 and gap2 <= 1e-4 and path2[-1] == pytest.approx(path[-1], abs=1e-2)
+    assert path2[0] == pytest.approx(path[0], rel=1e-9)
+
+
+def test_traces_without_density(spark):
+    table = spark.createDataFrame([(1, 7, 2), (1, 9, 1), (2, 9, 1), (None, 7, 1), (3, 8, 1)], "group_id bigint, chain bigint, cnt bigint")
+    pbar = spark.createDataFrame([(7, 0.5), (9, 0.5)], "chain bigint, pbar double")
+    atom = spark.createDataFrame([(0, 2, 2, 0.0, 0.0), (1, 0, 6, 0.0, 0.0)], "atom_id int, order bigint, e bigint, eps double, eta double")
+    got = {(r.atom_id, r.group_id): r.logf for r in estimation.group_loglik(table, pbar, atom, 3).collect()}
+    inf, ln = float("-inf"), math.log
+    assert got == pytest.approx({(0, 1): inf, (0, 2): inf, (0, None): ln(1 / 2), (1, 1): 3 * ln(1 / 6), (1, 2): ln(1 / 6), (1, None): ln(1 / 6)})
