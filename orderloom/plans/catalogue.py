@@ -404,7 +404,7 @@ def price_atoms(s, d):
 def npmle_fit(s, d):
     """Weights of the fitted mixture by order, and the certified gap."""
     c, pbar, atom, m = _mixture(s, d)
-    weights, gap, _ = estimation.fit_mixture(estimation.group_loglik(c, pbar, atom, m))
+    weights, gap, _ = estimation.fit_counts(c, pbar, atom, m)
     rows = s.createDataFrame([(int(a), float(w)) for a, w in weights.items()], "atom_id int, w double")
     return rows.join(atom, "atom_id").select("order", "e", nine("w").alias("w"), F.lit(round(gap, 6)).alias("gap"))
 
