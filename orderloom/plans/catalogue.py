@@ -394,9 +394,8 @@ def group_logf(s, d):
  SELECT "order", round(avg(exp(logf - logd)), 6) AS score FROM lf JOIN ld USING (group_id) GROUP BY ALL""")
 def price_atoms(s, d):
     c, pbar, atom, m = _mixture(s, d)
-    logf = estimation.group_loglik(c, pbar, atom, m)
-    even = atom.join(F.broadcast(atom.agg(F.count(F.lit(1)).alias("k")))).select("atom_id", (1 / F.col("k")).alias("w"))
-    scores = estimation.price(logf, estimation.log_mixture(logf, even))
+    k = estimation.kernel(pbar, atom, m)
+    scores = estimation.scores(estimation.profiles(c), k, dict.fromkeys(k.ids.tolist(), 1 / max(1, len(k.ids))))
     return scores.join(F.broadcast(atom), "atom_id").select("order", F.round("score", 6).alias("score"))
 
 
